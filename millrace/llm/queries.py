@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, sharding, simhash
+from . import langid, mixing, rules, sharding, simhash
 from .common import table
 
 
@@ -46,6 +46,42 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
+OP9_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), g AS (
+  SELECT rid, i, array_to_string(w[i:i + 4], ' ') AS gram FROM (SELECT rid, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)
+), hit AS (
+  SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, gram) AS c FROM g) WHERE c > 1
+), rep AS (
+  SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + 5)) AS p FROM hit) GROUP BY rid
+), l AS (
+  SELECT rid, source, text, line, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm FROM (SELECT rid, source, text, unnest(string_split(text, chr(10))) AS line FROM d)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), dup AS (
+  SELECT rid, count(*) - count(DISTINCT line) AS n FROM l GROUP BY rid
+), hosts AS (
+  SELECT source, count(DISTINCT text) AS texts FROM d GROUP BY source
+), freq AS (
+  SELECT source, norm FROM (SELECT source, norm, count(DISTINCT text) AS n FROM l GROUP BY source, norm) f JOIN hosts h USING (source) WHERE n > 10 AND n > texts * 0.05
+), gone AS (
+  SELECT rid, sum(len(string_split(l.norm, ' '))) AS n FROM l JOIN freq ON l.source IS NOT DISTINCT FROM freq.source AND l.norm = freq.norm GROUP BY rid
+), m AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(text) - len(regexp_extract_all(text, '[\x20\x09-\x0D]')) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(gone.n, 0) AS BIGINT) AS n_frequent_words
+  FROM d LEFT JOIN rep USING (rid) LEFT JOIN dup USING (rid) LEFT JOIN gone USING (rid)
+), v AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m
+)
+SELECT *, NOT base_failed AND n_words - n_frequent_words >= 10 AND n_words - n_frequent_words >= 0.3 * n_words AS kept FROM v
+"""
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_held_out(table(spark, sf_dir, "documents"))
 
@@ -54,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_mixing": op2_mixing,
     "op7_simhash": op7_simhash,
+    "op9_rules": op9_rules,
     "op10_langid": op10_langid,
 }
-ORACLE_SQL: dict[str, str] = {"op2_mixing": OP2_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_mixing": OP2_SQL, "op9_rules": OP9_SQL}
