@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, quality, rules, sharding, simhash, token_counts, toxicity
+from . import langid, mixing, packing, quality, rules, sharding, simhash, token_counts, toxicity
 from .common import table
 
 
@@ -49,6 +49,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.piece_digests(packing.pack_documents(table(spark, sf_dir, "documents")))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", "held_out", "score", "predicted", F.size("spans").alias("n_spans"))
@@ -104,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_token_counts": op3_token_counts,
     "op4_quality": op4_quality,
+    "op5_packing": op5_packing,
     "op6_toxicity": op6_toxicity,
     "op7_simhash": op7_simhash,
     "op9_rules": op9_rules,
