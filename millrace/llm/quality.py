@@ -28,6 +28,8 @@ BYTES = {
 }
 NAMES = [*BYTES, "entropy", "log_words", "word_length", "longest_word", "short_words", "different_words", "top_word", "runs", "different_lines", "words_a_line", "top_line", "ended_words"]
 GROUPS = 16
+#: Labelled ids up to which they are broadcast, 8 bytes each.
+MOST_BROADCAST = 2_000_000
 
 
 def statistics(text: str | None) -> np.ndarray:
@@ -170,20 +172,16 @@ def fit(labelled: DataFrame, width: int = 256, bandwidth: float = 4.0, ridge: fl
     return model
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="quality", hold_out: tuple[int, int] = (5, 0), cut: float = 0.3) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for every row: 0 to 1, higher where label 1 is likelier.
-
-    Learns from rows whose crc32(id as text) mod ``hold_out[0]`` is not ``hold_out[1]`` and whose label is 0 or 1, by
-    statistics of the text alone, all of them, whole. Statistics are worked out once and stored. Null and empty texts
-    have the statistics 0 and a score like any other. Without labels every score is 0.5. Ids repeated in either table
-    count as often as they are paired in the fit; each input row has one row in the result.
-    """
-    rows = stored(document_statistics(pick(docs, doc_id=id_col, text=text_col)))
+def learn(rows: DataFrame, labels: DataFrame, label_col: str, hold_out: tuple[int, int]) -> Scorer | None:
+    """A scorer from the (doc_id, stats) of ``rows`` that have a label and aren't held out."""
     known = pick(labels, label_id="doc_id", y=label_col).where("y in (0, 1)").select("label_id", F.col("y").cast("double").alias("y"))
-    modulus, out = hold_out
-    usable = rows.where(crc_remainder(F.col("doc_id"), modulus) != out).join(known, F.col("doc_id") == F.col("label_id")).select("stats", "y")
-    model = fit(stored(usable))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    usable = rows.where(crc_remainder(F.col("doc_id"), hold_out[0]) != hold_out[1]).join(known, F.col("doc_id") == F.col("label_id"))
+    return fit(stored(usable.select("stats", "y")))
+
+
+def apply(rows: DataFrame, model: Scorer | None) -> DataFrame:
+    """(doc_id, score) from (doc_id, stats)."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,6 +190,51 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col=
             score = shared.value.score(x) if shared.value is not None else np.full(len(x), 0.5)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score)], ["doc_id", "score"])
 
-    scored = rows.mapInArrow(run, f"doc_id {kind}, score double")
-    held_out = crc_remainder(F.col("doc_id"), modulus) == out
+    return rows.mapInArrow(run, f"doc_id {kind}, score double")
+
+
+def score_quality(
+    docs: DataFrame,
+    labels: DataFrame,
+    hold_out: tuple[int, int] = (5, 0),
+    cut: float = 0.3,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "quality",
+) -> DataFrame:
+    """(doc_id, held_out, score, predicted) for every row: 0 to 1, higher where label 1 is likelier.
+
+    Learns from rows whose crc32(id as text) mod ``hold_out[0]`` is not ``hold_out[1]`` and whose label is 0 or 1, by
+    statistics of the text alone, all of them, whole. Statistics are worked out once and stored. Null and empty texts
+    have the statistics 0 and a score like any other. Without labels every score is 0.5. Ids repeated in either table
+    count as often as they are paired in the fit; each input row has one row in the result.
+    """
+    rows = stored(document_statistics(pick(docs, doc_id=id_col, text=text_col)))
+    scored = apply(rows, learn(rows, labels, label_col, hold_out))
+    held_out = crc_remainder(F.col("doc_id"), hold_out[0]) == hold_out[1]
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
+
+
+def keep_good(
+    docs: DataFrame,
+    labels: DataFrame,
+    hold_out: tuple[int, int] = (5, 0),
+    cut: float = 0.3,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "quality",
+) -> DataFrame:
+    """``docs``, all columns, without the rows that score below ``cut``; learning as in :func:`score_quality`.
+
+    Statistics of the labelled rows are worked out first, those of all rows as they are scored, so no text is moved.
+    """
+    ids = pick(labels, label_id="doc_id", y=label_col).where("y in (0, 1)").select("label_id").distinct()
+    rows = pick(docs, doc_id=id_col, text=text_col)
+    few = ids.count() <= MOST_BROADCAST
+    labelled = rows.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("label_id"), "left_semi")
+    model = learn(stored(document_statistics(labelled)), labels, label_col, hold_out)
+    names = docs.columns
+    flat = docs.toDF(*[f"_c{i}" for i in range(len(names))])
+    whole = flat.select(F.struct(*flat.columns).alias("doc_id"), F.col(f"_c{names.index(text_col)}").alias("text"))
+    scored = apply(document_statistics(whole), model)
+    return scored.where(F.col("score") >= cut).select("doc_id.*").toDF(*names)

@@ -262,3 +262,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, most_toxic: int = 1500, m
     tagged = tag_documents(docs, fit(texts, toxic), id_col=id_col, text_col=text_col)
     held_out = crc_remainder(F.col("doc_id"), hold_out[0]) == hold_out[1]
     return tagged.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"), "spans")
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, most_toxic: int = 1500, most_clean: int = 3000, hold_out: tuple[int, int] = (4, 2), cut: float = 0.3, id_col="doc_id", text_col="text", label_col="toxic") -> DataFrame:
+    """``docs``, all columns, without the rows whose text scores ``cut`` or more; learning as in :func:`score_toxicity`."""
+    texts, toxic = training_texts(docs, labels, most_toxic, most_clean, hold_out, id_col, text_col, label_col)
+    names = docs.columns
+    flat = docs.toDF(*[f"_c{i}" for i in range(len(names))])
+    whole = flat.select(F.struct(*flat.columns).alias("row"), F.col(f"_c{names.index(text_col)}").alias("text"))
+    tagged = tag_documents(whole, fit(texts, toxic), id_col="row")
+    return tagged.where(F.col("score") < cut).select("doc_id.*").toDF(*names)
