@@ -1,14 +1,365 @@
-"""Queries over the test tables, one for each operator, with the SQL that says the same."""
+"""Queries over the test tables, at least one for each operator, with the SQL that says the same."""
 
 from __future__ import annotations
 
+import os
+import tempfile
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from ..operators.quality import HasType, NoNulls, OneOf, Range, RowsAtLeast, RowsAtMost, Unique
+from ..operators.stages import AggSpec
+from ..streaming.runs import run_available
+from .diff import diff
+from .pipeline import Pipeline
+from .sql import sql
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(oracle: str | None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLE_SQL[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def scan(spark: SparkSession, d: str, table: str) -> Pipeline:
+    return Pipeline(spark).read_parquet(f"{d}/{table}.parquet")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return events.groupBy("event_type").agg(F.sum("value").alias("sum_value"), F.count(F.lit(1)).alias("count_all"))
+    p = scan(spark, sf_dir, "events").filter("value > 100 and event_type != 'error'")
+    return p.aggregate(["event_type"], [AggSpec("sum", "value"), AggSpec("count_all")]).sort(["sum_value"], descending=True).to_df()
+
+
+@query("SELECT event_type, round(sum(value), 4) AS sum_value, count(*) AS count_all FROM events WHERE value > 100 AND event_type <> 'error' GROUP BY event_type")
+def q00_flagship(spark, d):
+    return flagship(spark, d).withColumn("sum_value", F.round("sum_value", 4))
+
+
+@query("SELECT * FROM lineitem WHERE l_quantity > 45 AND l_discount < 0.05")
+def q01_filter_and(spark, d):
+    return scan(spark, d, "lineitem").filter("l_quantity > 45 and l_discount < 0.05").to_df()
+
+
+@query(
+    """WITH t AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber - 1 = 0 THEN NULL ELSE CAST(trunc(1.0 / (l_linenumber - 1)) AS BIGINT) END AS z FROM lineitem)
+    SELECT l_orderkey, l_linenumber, (z = 1) OR l_linenumber = 1 AS either, NOT (z = 1) AS neither, (z = 1) AND l_linenumber = 3 AS both FROM t"""
+)
+def q02_kleene(spark, d):
+    p = scan(spark, d, "lineitem").map({"l_orderkey": "l_orderkey", "l_linenumber": "l_linenumber", "z": "1 / (l_linenumber - 1)"})
+    return p.map({"l_orderkey": "l_orderkey", "l_linenumber": "l_linenumber", "either": "z == 1 or l_linenumber == 1", "neither": "not (z == 1)", "both": "z == 1 and l_linenumber == 3"}).to_df()
+
+
+@query("SELECT l_orderkey, l_linenumber, l_shipdate FROM lineitem WHERE l_shipdate >= TIMESTAMP '1995-06-01 00:00:00'")
+def q03_date_literal(spark, d):
+    return scan(spark, d, "lineitem").filter("l_shipdate >= '1995-06-01T00:00:00'").select(["l_orderkey", "l_linenumber", "l_shipdate"]).to_df()
+
+
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS revenue FROM lineitem")
+def q04_arithmetic(spark, d):
+    return scan(spark, d, "lineitem").map({"l_orderkey": "l_orderkey", "l_linenumber": "l_linenumber", "revenue": "l_extendedprice * (1 - l_discount)"}).to_df()
+
+
+@query("SELECT o_orderkey, o_orderkey // 7 AS q, o_orderkey % 7 AS r, -(o_orderkey % 5) AS n FROM orders")
+def q05_integer_division(spark, d):
+    return scan(spark, d, "orders").map({"o_orderkey": "o_orderkey", "q": "o_orderkey / 7", "r": "o_orderkey % 7", "n": "-(o_orderkey % 5)"}).to_df()
+
+
+@query("SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN 'inf'::DOUBLE WHEN c_acctbal < 0 THEN '-inf'::DOUBLE ELSE 'nan'::DOUBLE END AS x FROM customer")
+def q06_float_by_zero(spark, d):
+    return scan(spark, d, "customer").map({"c_custkey": "c_custkey", "x": "c_acctbal / (c_acctbal - c_acctbal)"}).to_df()
+
+
+@query("SELECT c_custkey, c_name || '-' || c_mktsegment AS label FROM customer")
+def q07_concat(spark, d):
+    return scan(spark, d, "customer").map({"c_custkey": "c_custkey", "label": "c_name + '-' + c_mktsegment"}).to_df()
+
+
+@query("SELECT c_custkey, upper(c_name) AS u, lower(c_mktsegment) AS l, CAST(length(c_name) AS INTEGER) AS n, trim('  ' || c_mktsegment || '  ') AS t FROM customer")
+def q08_text_functions(spark, d):
+    return scan(spark, d, "customer").map({"c_custkey": "c_custkey", "u": "upper(c_name)", "l": "lower(c_mktsegment)", "n": "length(c_name)", "t": "trim('  ' + c_mktsegment + '  ')"}).to_df()
+
+
+@query("SELECT c_custkey, abs(c_acctbal) AS a, sqrt(abs(c_acctbal)) AS s, -c_acctbal AS n FROM customer")
+def q09_math_functions(spark, d):
+    return scan(spark, d, "customer").map({"c_custkey": "c_custkey", "a": "abs(c_acctbal)", "s": "sqrt(abs(c_acctbal))", "n": "-c_acctbal"}).to_df()
+
+
+@query("SELECT s_suppkey, greatest(s_acctbal, 0.0) AS hi, least(s_acctbal, 5000.0) AS lo FROM supplier")
+def q10_min_max_of_row(spark, d):
+    return scan(spark, d, "supplier").map({"s_suppkey": "s_suppkey", "hi": "max(s_acctbal, 0.0)", "lo": "min(s_acctbal, 5000.0)"}).to_df()
+
+
+@query("SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'debt' ELSE 'credit' END AS side, coalesce(NULL, c_name) AS name FROM customer")
+def q11_if_coalesce(spark, d):
+    return scan(spark, d, "customer").map({"c_custkey": "c_custkey", "side": "if(c_acctbal < 0, 'debt', 'credit')", "name": "coalesce(null, c_name)"}).to_df()
+
+
+@query("SELECT o_totalprice, o_orderkey FROM orders")
+def q12_select(spark, d):
+    return scan(spark, d, "orders").select(["o_totalprice", "o_orderkey", "o_custkey"]).drop(["o_custkey", "not_there"]).to_df()
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 50")
+def q13_top_k(spark, d):
+    return scan(spark, d, "orders").sort(["o_totalprice", "o_orderkey"], descending=True).limit(50).select(["o_orderkey", "o_totalprice"]).to_df()
+
+
+@query("SELECT * FROM events WHERE event_id < 100")
+def q14_limit_in_order(spark, d):
+    return scan(spark, d, "events").limit(100).to_df()
+
+
+@query("SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_l_quantity, CAST(sum(l_linenumber) AS BIGINT) AS sum_l_linenumber FROM lineitem GROUP BY ALL")
+def q15_sum(spark, d):
+    p = scan(spark, d, "lineitem").aggregate(["l_returnflag", "l_linestatus"], [AggSpec("sum", "l_quantity"), AggSpec("sum", "l_linenumber")])
+    return p.to_df().withColumn("sum_l_quantity", F.round("sum_l_quantity", 2))
+
+
+@query("SELECT l_returnflag, l_linestatus, round(avg(l_discount), 8) AS avg_l_discount FROM lineitem GROUP BY ALL")
+def q16_avg(spark, d):
+    return scan(spark, d, "lineitem").group_by(["l_returnflag", "l_linestatus"]).agg({"l_discount": "avg"}).to_df().withColumn("avg_l_discount", F.round("avg_l_discount", 8))
+
+
+@query("SELECT l_returnflag, count(CASE WHEN l_linenumber <> 1 THEN 1 END) AS count_z FROM lineitem GROUP BY ALL")
+def q17_count_skips_null(spark, d):
+    return scan(spark, d, "lineitem").map({"l_returnflag": "l_returnflag", "z": "if(l_linenumber == 1, null, l_linenumber)"}).group_by(["l_returnflag"]).agg({"z": "count"}).to_df()
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ALL")
+def q18_count_all(spark, d):
+    return scan(spark, d, "lineitem").aggregate(["l_returnflag", "l_linestatus"], [AggSpec("count_all", output="n")]).to_df()
+
+
+@query("SELECT l_returnflag, min(l_quantity) AS min_l_quantity, max(l_quantity) AS max_l_quantity, min(l_shipmode) AS min_l_shipmode FROM (SELECT l_returnflag, l_quantity, l_linestatus AS l_shipmode FROM lineitem) GROUP BY ALL")
+def q19_min_max(spark, d):
+    p = scan(spark, d, "lineitem").map({"l_returnflag": "l_returnflag", "l_quantity": "l_quantity", "l_shipmode": "l_linestatus"})
+    return p.aggregate(["l_returnflag"], [AggSpec("min", "l_quantity"), AggSpec("max", "l_quantity"), AggSpec("min", "l_shipmode")]).to_df()
+
+
+@query("SELECT user_id, min(ts) AS min_ts, max(ts) AS max_ts FROM events GROUP BY user_id")
+def q20_min_max_time(spark, d):
+    return scan(spark, d, "events").aggregate(["user_id"], [AggSpec("min", "ts"), AggSpec("max", "ts")]).to_df()
+
+
+@query("SELECT count(*) AS count_all, round(sum(o_totalprice), 2) AS total, max(o_orderkey) AS last FROM orders")
+def q21_global(spark, d):
+    p = scan(spark, d, "orders").aggregate([], [AggSpec("count_all"), AggSpec("sum", "o_totalprice", "total"), AggSpec("max", "o_orderkey", "last")])
+    return p.to_df().withColumn("total", F.round("total", 2))
+
+
+@query(
+    """SELECT k, count(*) AS count_all, round(sum(v), 2) AS sum_v FROM
+    (SELECT CASE WHEN o_totalprice > 250000 THEN o_orderpriority END AS k, CASE WHEN o_totalprice <= 250000 THEN o_totalprice END AS v FROM orders) GROUP BY k"""
+)
+def q22_null_groups(spark, d):
+    p = scan(spark, d, "orders").map({"k": "if(o_totalprice > 250000, o_orderpriority, null)", "v": "if(o_totalprice <= 250000, o_totalprice, null)"})
+    return p.aggregate(["k"], [AggSpec("count_all"), AggSpec("sum", "v")]).to_df().withColumn("sum_v", F.round("sum_v", 2))
+
+
+@query("SELECT c_mktsegment, c_custkey, c_acctbal FROM customer ORDER BY c_mktsegment, c_acctbal DESC, c_custkey LIMIT 200")
+def q23_sort_mixed(spark, d):
+    return scan(spark, d, "customer").sort(["c_mktsegment", "c_acctbal", "c_custkey"], descending=[False, True, False]).limit(200).select(["c_mktsegment", "c_custkey", "c_acctbal"]).to_df()
+
+
+@query("SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1")
+def q24_dedup_first(spark, d):
+    return scan(spark, d, "events").dedup(["user_id"]).to_df()
+
+
+@query("SELECT DISTINCT text FROM documents")
+def q25_dedup_rows(spark, d):
+    return scan(spark, d, "documents").select(["text"]).dedup([]).to_df()
+
+
+_BIG = "SELECT * FROM orders WHERE o_totalprice > 300000"
+_SOME = "SELECT c_custkey, c_name FROM customer WHERE c_custkey % 3 <> 0"
+
+
+def _join(spark, d, how):
+    right = scan(spark, d, "customer").filter("c_custkey % 3 != 0").select(["c_custkey", "c_name"])
+    return scan(spark, d, "orders").filter("o_totalprice > 300000").select(["o_orderkey", "o_custkey"]).join(right, ["o_custkey"], ["c_custkey"], how).to_df()
+
+
+def _join_sql(how):
+    return f"SELECT o_orderkey, o_custkey, c_custkey, c_name FROM ({_BIG}) o {how} JOIN ({_SOME}) c ON o_custkey = c_custkey"
+
+
+@query(_join_sql("INNER"))
+def q26_join_inner(spark, d):
+    return _join(spark, d, "inner")
+
+
+@query(_join_sql("LEFT"))
+def q27_join_left(spark, d):
+    return _join(spark, d, "left")
+
+
+@query(_join_sql("RIGHT"))
+def q28_join_right(spark, d):
+    return _join(spark, d, "right")
+
+
+@query(_join_sql("FULL"))
+def q29_join_full(spark, d):
+    return _join(spark, d, "full")
+
+
+@query(
+    """SELECT a.l_orderkey, a.l_linenumber, a.l_quantity, b.l_orderkey AS l_orderkey_r, b.l_linenumber AS l_linenumber_r, b.l_tax AS l_tax
+    FROM lineitem a JOIN (SELECT * FROM lineitem WHERE l_quantity > 40) b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber"""
+)
+def q30_join_composite(spark, d):
+    right = scan(spark, d, "lineitem").filter("l_quantity > 40").select(["l_orderkey", "l_linenumber", "l_tax"])
+    return scan(spark, d, "lineitem").select(["l_orderkey", "l_linenumber", "l_quantity"]).join(right, ["l_orderkey", "l_linenumber"], ["l_orderkey", "l_linenumber"]).to_df()
+
+
+@query("SELECT d.doc_id, d.lang, l.doc_id AS doc_id_r, l.quality, l.toxic FROM documents d JOIN labels l ON d.doc_id = l.doc_id")
+def q31_join_names(spark, d):
+    right = spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "quality", "toxic")
+    return scan(spark, d, "documents").select(["doc_id", "lang"]).join(right, ["doc_id"], ["doc_id"]).to_df()
+
+
+@query(
+    """SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
+    GROUP BY n_name ORDER BY revenue DESC, n_name LIMIT 10"""
+)
+def q32_revenue_by_nation(spark, d):
+    supplier = scan(spark, d, "supplier").select(["s_suppkey", "s_nationkey"])
+    nation = scan(spark, d, "nation").select(["n_nationkey", "n_name"])
+    p = scan(spark, d, "lineitem").map({"l_suppkey": "l_suppkey", "r": "l_extendedprice * (1 - l_discount)"})
+    p = p.join(supplier, ["l_suppkey"], ["s_suppkey"]).join(nation, ["s_nationkey"], ["n_nationkey"])
+    p = p.aggregate(["n_name"], [AggSpec("sum", "r", "revenue")]).sort(["revenue", "n_name"], descending=[True, False]).limit(10)
+    return p.to_df().withColumn("revenue", F.round("revenue", 2))
+
+
+def _fnv_sql(seed: int, key: str) -> str:
+    """The keyed sample's position in 128-bit arithmetic: FNV-1a over the seed and a bigint key, then SplitMix64."""
+    m = "18446744073709551616::UHUGEINT"
+    step = f"((xor(s, b) * 1099511628211::UHUGEINT) % {m})"
+    data = f"list_concat([{', '.join(f'{(seed >> 8 * i) & 255}::UHUGEINT' for i in range(8))}], [(({key} // (256 ** i)::BIGINT) % 256)::UHUGEINT FOR i IN range(7)], [0::UHUGEINT])"
+    state = f"list_reduce(list_concat([14695981039346656037::UHUGEINT], {data}), lambda s, b: {step})"
+    return f"""SELECT *, xor(z2, z2 // 2147483648::UHUGEINT) // 2048::UHUGEINT AS top FROM (SELECT *, (xor(z1, z1 // 134217728::UHUGEINT) * 10723151780598845931::UHUGEINT) % {m} AS z2 FROM (
+        SELECT *, (xor(z0, z0 // 1073741824::UHUGEINT) * 13787848793156543929::UHUGEINT) % {m} AS z1 FROM (SELECT *, ({state} + 11400714819323198485::UHUGEINT) % {m} AS z0 FROM events)))"""
+
+
+@query(f"SELECT event_id, ts, user_id, event_type, value, props FROM ({_fnv_sql(7, 'event_id')}) WHERE top::DOUBLE / 9007199254740992.0 < 0.25")
+def q33_sample(spark, d):
+    return scan(spark, d, "events").sample(0.25, "event_id", seed=7).to_df()
+
+
+@query("SELECT * FROM orders")
+def q34_expect(spark, d):
+    checks = [RowsAtLeast(1), RowsAtMost(10**12), NoNulls("o_orderkey"), Unique("o_orderkey"), Range("o_totalprice", 0, None), HasType("o_orderkey", "int64")]
+    return scan(spark, d, "orders").expect(*checks, OneOf("o_orderstatus", ("F", "O", "P"))).to_df()
+
+
+def _sql(spark, d, text, *tables):
+    return sql(text, spark, {t: f"{d}/{t}.parquet" for t in tables})
+
+
+def _same(name: str, text: str, table: str, oracle: str | None = None) -> None:
+    f = lambda spark, d: _sql(spark, d, text, table)
+    f.__name__ = name
+    query(oracle or text)(f)
+
+
+_same("q35_sql_projection", "SELECT o_orderkey, o_totalprice * 2 AS twice FROM orders", "orders")
+_same("q36_sql_where", "SELECT o_orderkey FROM orders WHERE NOT o_totalprice > 100000 AND o_orderkey % 2 = 1 OR o_orderkey < 10", "orders")
+_same(
+    "q37_sql_is_null",
+    "SELECT l_orderkey, l_linenumber FROM lineitem WHERE 10 / (l_linenumber - 1) IS NULL OR (l_linenumber > 5) IS TRUE",
+    "lineitem",
+    "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber = 1 OR (l_linenumber > 5) IS TRUE",
+)
+_same("q38_sql_distinct", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders", "orders")
+_same("q39_sql_group_by", "SELECT MAX(o_totalprice) AS top, o_orderstatus, COUNT(*) AS n, COUNT(o_custkey) FROM orders GROUP BY o_orderstatus", "orders", "SELECT max(o_totalprice) AS top, o_orderstatus, count(*) AS n, count(o_custkey) AS count_o_custkey FROM orders GROUP BY o_orderstatus")
+_same("q40_sql_order_mixed", "SELECT c_custkey, c_mktsegment FROM customer ORDER BY c_mktsegment DESC, c_custkey ASC LIMIT 75", "customer")
+_same("q41_sql_limit", "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 20", "orders")
+_same("q42_sql_star_and_more", "SELECT *, n_nationkey + 1 AS next FROM nation WHERE n_name <> 'it''s'", "nation")
+
+
+@query(
+    """WITH a AS (SELECT s_suppkey, s_name, s_acctbal FROM supplier WHERE s_suppkey % 5 <> 0), b AS (SELECT s_suppkey, s_name, CASE WHEN s_suppkey % 7 = 0 THEN s_acctbal + 1 ELSE s_acctbal END AS s_acctbal FROM supplier WHERE s_suppkey % 3 <> 0)
+    SELECT '-' AS _diff, a.* FROM a LEFT JOIN b USING (s_suppkey) WHERE b.s_name IS NULL OR a.s_acctbal IS DISTINCT FROM b.s_acctbal
+    UNION ALL SELECT '+' AS _diff, b.* FROM b LEFT JOIN a USING (s_suppkey) WHERE a.s_name IS NULL OR a.s_acctbal IS DISTINCT FROM b.s_acctbal"""
+)
+def q43_diff(spark, d):
+    supplier = spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", "s_name", "s_acctbal")
+    a = supplier.where("s_suppkey % 5 <> 0")
+    b = supplier.where("s_suppkey % 3 <> 0").withColumn("s_acctbal", F.expr("CASE WHEN s_suppkey % 7 = 0 THEN s_acctbal + 1 ELSE s_acctbal END"))
+    return diff(a, b, ["s_suppkey"]).rows
+
+
+def _folder() -> str:
+    return tempfile.mkdtemp(prefix="millrace-")
+
+
+@query("SELECT CAST(r_regionkey AS INTEGER) AS r_regionkey, r_name FROM region")
+def q44_csv_round_trip(spark, d):
+    path = os.path.join(_folder(), "region.csv")
+    scan(spark, d, "region").write_csv(path).execute()
+    return Pipeline(spark).read_csv(path).select(["r_regionkey", "r_name"]).to_df()
+
+
+@query("SELECT n_name, CAST(n_nationkey AS INTEGER) AS n_nationkey FROM nation")
+def q45_jsonl_round_trip(spark, d):
+    path = os.path.join(_folder(), "nation.jsonl")
+    scan(spark, d, "nation").write_jsonl(path).execute()
+    return Pipeline(spark).read_jsonl(path).select(["n_name", "n_nationkey"]).to_df()
+
+
+@query("SELECT n_name, CAST(n_nationkey AS INTEGER) AS n_nationkey FROM nation")
+def q46_json_round_trip(spark, d):
+    path = os.path.join(_folder(), "nation.json")
+    scan(spark, d, "nation").write_json(path, pretty=True).execute()
+    return Pipeline(spark).read_json(path).select(["n_name", "n_nationkey"]).to_df()
+
+
+@query("SELECT s_suppkey, s_name, s_acctbal FROM supplier")
+def q47_columnar_round_trip(spark, d):
+    path = os.path.join(_folder(), "supplier.bin")
+    scan(spark, d, "supplier").select(["s_suppkey", "s_name", "s_acctbal"]).write_columnar(path).execute()
+    return Pipeline(spark).read_columnar(path).to_df()
+
+
+@query("SELECT s_suppkey, s_name, s_acctbal FROM supplier")
+def q48_sqlite_round_trip(spark, d):
+    path = os.path.join(_folder(), "supplier.db")
+    scan(spark, d, "supplier").select(["s_suppkey", "s_name", "s_acctbal"]).write_sqlite(path, "supplier").execute()
+    return Pipeline(spark).read_sqlite(path, "SELECT * FROM supplier").to_df()
+
+
+@query("SELECT event_type, CAST(count(*) AS BIGINT) AS count_all FROM events WHERE value > 50 GROUP BY event_type")
+def q49_stream_available_now(spark, d):
+    return run_available(spark, spark.read.parquet(f"{d}/events.parquet").schema, f"{d}/events.parque*", lambda df: Pipeline(spark).from_df(df).filter("value > 50").aggregate(["event_type"], [AggSpec("count_all")]), ["event_type"])
+
+
+@query("SELECT c_custkey, c_acctbal * 2 AS doubled FROM customer WHERE c_acctbal > 0")
+def q50_closures(spark, d):
+    p = scan(spark, d, "customer").select(["c_custkey", "c_acctbal"]).filter_fn(lambda r: r["c_acctbal"] > 0)
+    return p.map_fn({"c_custkey": "int64", "doubled": "float64"}, lambda r: (r["c_custkey"], r["c_acctbal"] * 2)).to_df()
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey < 5 UNION ALL SELECT n_nationkey, n_name FROM nation WHERE n_nationkey > 20")
+def q51_union_and_custom(spark, d):
+    nation = scan(spark, d, "nation").select(["n_nationkey", "n_name"]).to_df()
+    return Pipeline(spark).from_df(nation.where("n_nationkey < 5")).transform(lambda df: df.unionByName(nation.where("n_nationkey > 20"))).to_df()
+
+
+@query("SELECT user_id, event_id FROM (SELECT * FROM events WHERE event_type = 'click' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) = 1)")
+def q52_sort_then_dedup(spark, d):
+    return scan(spark, d, "events").filter("event_type == 'click'").sort(["value"], descending=True).dedup(["user_id"]).select(["user_id", "event_id"]).to_df()
+
+
+@query("SELECT event_id FROM events WHERE event_id IN (SELECT event_id FROM events ORDER BY value DESC, event_id LIMIT 40) ORDER BY event_id LIMIT 40")
+def q53_sort_map_limit(spark, d):
+    return scan(spark, d, "events").sort(["value"], descending=True).map({"event_id": "event_id"}).limit(40).to_df()

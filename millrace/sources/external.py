@@ -5,6 +5,7 @@ from __future__ import annotations
 import ipaddress
 import os
 import random
+import shutil
 import sqlite3
 import tempfile
 import time
@@ -14,6 +15,7 @@ import urllib.request
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyarrow import parquet
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -155,26 +157,32 @@ def read_sqlite(spark: SparkSession, path: str, query: str) -> DataFrame:
 
 
 def write_sqlite(df: DataFrame, path: str, table: str) -> int:
-    """Rows are appended, in transactions of a batch; the table is made if it isn't there. SQLite has one writer: rows
-    stream through the driver a partition at a time."""
+    """Rows are appended, in transactions of a batch; the table is made if it isn't there.
+
+    SQLite has one writer. The rows are worked out by all executors into a folder beside the database (which, like any
+    file that the driver writes, must lie where all of them can), and the driver copies it in batches.
+    """
     names = {"int32": "INTEGER", "int64": "INTEGER", "bool": "INTEGER", "float32": "REAL", "float64": "REAL"}
     kinds = [kind_of(f.dataType) for f in df.schema]
     quoted = ['"' + c.replace('"', '""') + '"' for c in df.columns]
     target = '"' + table.replace('"', '""') + '"'
-    shown = [show_timestamp(F.col(f"`{c}`")) if k == "timestamp" else F.col(f"`{c}`").cast("string") if k == "date" else F.col(f"`{c}`") for c, k in zip(df.columns, kinds, strict=True)]
-    n = 0
+    shown = [
+        show_timestamp(F.col(f"`{c}`")) if k == "timestamp" else F.col(f"`{c}`").cast("string") if k == "date" else F.col(f"`{c}`").cast("int") if k == "bool" else F.col(f"`{c}`")
+        for c, k in zip(df.columns, kinds, strict=True)
+    ]
+    folder, n = tempfile.mkdtemp(prefix=".millrace-", dir=os.path.dirname(os.path.abspath(path))), 0
     try:
+        df.select(*[c.alias(f"c{i}") for i, c in enumerate(shown)]).write.parquet(f"file://{folder}/rows")
         with sqlite3.connect(path) as db:
             db.execute(f"CREATE TABLE IF NOT EXISTS {target} ({', '.join(f'{c} {names.get(k, "TEXT")}' for c, k in zip(quoted, kinds, strict=True))})")
-            put, block = f"INSERT INTO {target} ({', '.join(quoted)}) VALUES ({', '.join('?' * len(quoted))})", []
-            for row in df.select(*shown).toLocalIterator():
-                block.append(tuple(row))
-                n += 1
-                if len(block) == BATCH:
-                    db.executemany(put, block)
+            put = f"INSERT INTO {target} ({', '.join(quoted)}) VALUES ({', '.join('?' * len(quoted))})"
+            for part in sorted(p for p in os.listdir(f"{folder}/rows") if p.endswith(".parquet")):
+                for batch in parquet.ParquetFile(f"{folder}/rows/{part}").iter_batches(BATCH):
+                    db.executemany(put, zip(*[c.to_pylist() for c in batch.columns], strict=True))
                     db.commit()
-                    block = []
-            db.executemany(put, block)
+                    n += batch.num_rows
     except sqlite3.Error as e:
         raise DatabaseError(f"{path}: {e}") from e
+    finally:
+        shutil.rmtree(folder, ignore_errors=True)
     return n

@@ -135,6 +135,7 @@ def read_csv(spark: SparkSession, path: str, policy: Policy = Policy(), multi_li
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", CORRUPT)
         .option("multiLine", multi_line)
+        .option("columnPruning", False)  # else a row is only checked as far as it is used
         .option("ignoreLeadingWhiteSpace", True)
         .option("ignoreTrailingWhiteSpace", True)
         .option("nullValue", "")
