@@ -10,7 +10,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 #: Pieces that a worker remembers, and the longest of them.
-MOST_PIECES, LONGEST = 400_000, 40
+MOST_PIECES, LONGEST = 200_000, 40
 #: A space that isn't followed by the first character of a word: text that has one is cut by the tokeniser's own rule.
 LOOSE = re.compile("[ ](?:[\\s\x1c-\x1f\x85᠎​﻿]|$)")
 #: Marks that end a piece and never join letters before them.

@@ -5,7 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,6 +69,24 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def keep_where(docs: DataFrame, text_col: str, test: Callable[[list], np.ndarray], rows: int = 256) -> DataFrame:
+    """``docs``, all columns, without the rows for whose text ``test`` (of a list of texts) is false.
+
+    Texts go through the worker once, in batches that are cut, ``rows`` at a time, without being copied.
+    """
+    names = docs.columns
+    at = names.index(text_col)
+    flat = docs.toDF(*[f"_c{i}" for i in range(len(names))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, rows):
+                part = batch.slice(first, rows)
+                yield part.filter(pa.array(test(part.column(at).to_pylist()), pa.bool_()))
+
+    return flat.mapInArrow(run, flat.schema).toDF(*names)
+
+
 def utf8_bytes(text: Column) -> Column:
     """Length in UTF-8 bytes as a long; null counts as empty."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")

@@ -108,7 +108,7 @@ def pack_documents(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, at = TaskContext.get().partitionId() << 40, 0
-        for batch in batches:
+        for batch in (whole.slice(i, BLOCK) for whole in batches for i in range(0, whole.num_rows, BLOCK)):
             out: dict[str, list] = {k: [] for k in ("row", "start", "length", "ids", "doc_tokens", "sequence_id", "offset")}
             for i, raw in enumerate(batch.column("ids")):
                 ids = np.frombuffer(raw.as_py(), "<u2").astype("<u4")

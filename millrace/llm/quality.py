@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_remainder, pick, stored
+from .common import crc_remainder, keep_where, pick, stored
 
 #: What is counted in a text's bytes: each is a share of all bytes.
 BYTES = {
@@ -233,8 +233,11 @@ def keep_good(
     few = ids.count() <= MOST_BROADCAST
     labelled = rows.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("label_id"), "left_semi")
     model = learn(stored(document_statistics(labelled)), labels, label_col, hold_out)
-    names = docs.columns
-    flat = docs.toDF(*[f"_c{i}" for i in range(len(names))])
-    whole = flat.select(F.struct(*flat.columns).alias("doc_id"), F.col(f"_c{names.index(text_col)}").alias("text"))
-    scored = apply(document_statistics(whole), model)
-    return scored.where(F.col("score") >= cut).select("doc_id.*").toDF(*names)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def good(texts: list) -> np.ndarray:
+        if shared.value is None:
+            return np.full(len(texts), cut <= 0.5)
+        return shared.value.score(np.array([statistics(t) for t in texts]).reshape(-1, len(NAMES))) >= cut
+
+    return keep_where(docs, text_col, good)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -12,11 +13,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_remainder, pick
+from .common import crc_remainder, keep_where, pick
 
 #: Words that a worker remembers, and the longest of them, in bytes.
-MOST_WORDS, LONGEST = 400_000, 60
+MOST_WORDS, LONGEST = 200_000, 60
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+#: Marginals from here on count for a document's score.
+FLOOR = 0.2
 #: Tokens of context around what is trained on.
 MARGIN = 8
 
@@ -47,14 +50,26 @@ def token_labels(texts: list[str], toxic: list[bool], purity: float = 0.98, chan
     come about by chance with a probability below ``chance``. Documents that share their least shingle hash count once,
     so words that copies of a toxic document share don't pass for marks.
     """
-    where: dict[str, list[int]] = defaultdict(list)
-    for i, t in enumerate(texts):
-        for f in {f for w in set(WORDS.findall(t)) for f in features(w) if f[0] in "=^"}:
-            where[f].append(i)
-    mark, groups = np.array(toxic, bool), copies(texts)
+    mark = np.array(toxic, bool)
     base = min(max(mark.mean(), 1e-3), 0.999) if len(mark) else 0.5
     support = max(4, int(np.ceil(np.log(chance) / np.log(base))))
-    return {f for f, v in where.items() if len(v) >= support and mark[v].mean() >= purity and min(len(np.unique(g[v])) for g in groups) >= support}
+
+    def of(text: str) -> set[str]:
+        return {f for w in set(WORDS.findall(text)) for f in features(w) if f[0] in "=^"}
+
+    # Hashes first, so that only features of enough toxic documents are kept as text.
+    hashes = [np.fromiter(map(hash, of(t)), np.int64) for t, y in zip(texts, toxic, strict=True) if y]
+    if not hashes:
+        return set()
+    found, n = np.unique(np.concatenate(hashes), return_counts=True)
+    often, where = set(found[n >= support].tolist()), defaultdict(lambda: array("i"))
+    del hashes, found
+    for i, t in enumerate(texts):
+        for f in of(t):
+            if hash(f) in often:
+                where[f].append(i)
+    groups = copies(texts)
+    return {f for f, v in where.items() if mark[v].mean() >= purity and min(len(np.unique(g[v])) for g in groups) >= support}
 
 
 class Field:
@@ -122,21 +137,25 @@ def fit(texts: list[str], toxic: list[bool], epochs: int = 60, rate: float = 0.3
     conditional likelihood."""
     marks = token_labels(texts, toxic)
     rng = np.random.default_rng(seed)
-    known: dict[str, list[str]] = {}
     alike = {f[:4] for f in marks} | {f"={f[1:4]}" for f in marks}
+    code: dict[str, int] = {}  # 2: a mark; 1: begins as one does; 0: neither
+
+    def kind(word: str) -> int:
+        c = code.get(word)
+        if c is None:
+            fs = features(word)
+            c = code[word] = 2 if any(f in marks for f in fs) else int(any(f[:4] in alike for f in fs if f[0] == "^" and len(f) == 4))
+        return c
+
     windows: list[tuple[list[str], list[int]]] = []
-    drawn = rng.permutation(len(texts))
     budget = plain
-    for i in drawn:
+    for i in rng.permutation(len(texts)):
         words = WORDS.findall(texts[i])
-        for w in words:
-            if w not in known:
-                known[w] = features(w)
-        tags = [int(toxic[i] and any(f in marks for f in known[w])) for w in words]
+        kinds = [kind(w) for w in words]
+        tags = [int(toxic[i] and k == 2) for k in kinds]
         centres = [k for k, y in enumerate(tags) if y]
         if not toxic[i]:
-            near = [k for k, w in enumerate(words) if any(f[:4] in alike for f in known[w] if f[0] == "^" and len(f) == 4)]
-            centres = near[:4]
+            centres = [k for k, c in enumerate(kinds) if c][:4]
             if budget > 0 and words:
                 more = rng.integers(0, len(words), min(4, budget))
                 budget -= len(more)
@@ -146,12 +165,23 @@ def fit(texts: list[str], toxic: list[bool], epochs: int = 60, rate: float = 0.3
             windows.append((words[a:b], tags[a:b]))
     if not windows:
         return Field({}, -4.0, np.zeros((2, 2)), np.zeros(2))
-    count = Counter(f for ws, _ in windows for w in ws for f in known[w])
+    del code
+    times = Counter(w for ws, _ in windows for w in ws)
+    count: Counter = Counter()
+    for w, n in times.items():
+        for f in features(w):
+            count[f] += n
     index = {f: j for j, f in enumerate(f for f, n in count.items() if n >= 2)}
+    del count
+    number = {w: i for i, w in enumerate(times)}
+    rows = [np.array([index[f] for f in features(w) if f in index], np.int32) for w in number]
+    width = np.array([len(r) for r in rows])
+    starts, every = np.cumsum(width) - width, np.concatenate(rows)
+    word_of = np.array([number[w] for ws, _ in windows for w in ws], np.int32)
+    sizes = width[word_of]
+    owner = np.repeat(np.arange(len(word_of), dtype=np.int32), sizes)
+    cols = every[np.repeat(starts[word_of] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))]
     lengths = np.array([len(ws) for ws, _ in windows])
-    flat = [[index[f] for f in known[w] if f in index] for ws, _ in windows for w in ws]
-    sizes = np.array([len(x) for x in flat])
-    cols, owner = np.array([j for x in flat for j in x], np.int64), np.repeat(np.arange(len(flat)), sizes)
     y = np.array([t for _, ts in windows for t in ts])
     field = Field({}, -2.0, np.zeros((2, 2)), np.zeros(2))
     w, g_w = np.zeros(len(index)), np.full(len(index), 1e-2)
@@ -201,7 +231,37 @@ def training_texts(docs: DataFrame, labels: DataFrame, most_toxic: int, most_cle
     return list(by_text), list(by_text.values())
 
 
-def tag_documents(docs: DataFrame, field: Field, floor: float = 0.2, mark: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+class Tagger:
+    """Scores of texts, for the life of a task: words' emissions are remembered."""
+
+    def __init__(self, field: Field, floor: float) -> None:
+        self.field, self.floor, self.known = field, floor, {}
+
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(score of each text, marginal of each token of all, first token of each text)."""
+        lengths, values, known = np.zeros(len(texts), np.int64), array("d"), self.known
+        for i, t in enumerate(texts):
+            pieces = (t or "").encode("utf-8", "surrogatepass").split()
+            lengths[i] = len(pieces)
+            for w in pieces:
+                e = known.get(w)
+                if e is None:
+                    e = self.field.emission(w.decode("utf-8", "surrogatepass"))
+                    if len(known) < MOST_WORDS and len(w) <= LONGEST:
+                        known[w] = e
+                values.append(e)
+        p = self.field.marginals(np.frombuffer(values), lengths) if values else np.zeros(0)
+        ends = np.cumsum(lengths)
+        firsts, filled, scores = ends - lengths, lengths > 0, np.zeros(len(texts))
+        if len(p):
+            scores[filled] = np.maximum.reduceat(p, firsts[filled])
+        high = np.flatnonzero(p >= self.floor)
+        clean = np.ones(len(texts))
+        np.multiply.at(clean, np.searchsorted(ends, high, side="right"), 1 - p[high])
+        return np.maximum(scores, 1 - clean), p, firsts
+
+
+def tag_documents(docs: DataFrame, field: Field, floor: float = FLOOR, mark: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score, spans) for every row: whole texts, every token.
 
     score is the chance that at least one of the tokens with a marginal of ``floor`` or more is toxic, as if they were
@@ -214,38 +274,17 @@ def tag_documents(docs: DataFrame, field: Field, floor: float = 0.2, mark: float
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("marginal", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = shared.value, {}
+        tagger = Tagger(shared.value, floor)
         for batch in batches:
-            for at in range(0, max(batch.num_rows, 1), 2048):
-                part = batch.slice(at, 2048)
-                texts, lengths, values = part.column("text").to_pylist(), [], []
-                for t in texts:
-                    pieces = (t or "").encode("utf-8", "surrogatepass").split()
-                    lengths.append(len(pieces))
-                    for w in pieces:
-                        e = known.get(w)
-                        if e is None:
-                            e = model.emission(w.decode("utf-8", "surrogatepass"))
-                            if len(known) < MOST_WORDS and len(w) <= LONGEST:
-                                known[w] = e
-                        values.append(e)
-                lengths_ = np.array(lengths, np.int64)
-                p = model.marginals(np.array(values), lengths_) if values else np.zeros(0)
-                ends = np.cumsum(lengths_)
-                scores, spans = np.zeros(len(texts)), [[] for _ in texts]
-                filled = lengths_ > 0
-                if len(p):
-                    scores[filled] = np.maximum.reduceat(p, (ends - lengths_)[filled])
-                high = np.flatnonzero(p >= floor)
-                owner = np.searchsorted(ends, high, side="right")
-                clean = np.ones(len(texts))
-                np.multiply.at(clean, owner, 1 - p[high])
-                scores = np.maximum(scores, 1 - clean)
-                for i in sorted(set(owner[p[high] >= mark].tolist())):
-                    first = ends[i] - lengths_[i]
-                    for k, m in enumerate(WORDS.finditer(texts[i])):
-                        if p[first + k] >= mark:
-                            spans[i].append({"start": m.start(), "end": m.end(), "marginal": float(p[first + k])})
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                texts = part.column("text").to_pylist()
+                scores, p, firsts = tagger(texts)
+                spans = [[] for _ in texts]
+                for i in sorted(set((np.searchsorted(firsts, np.flatnonzero(p >= mark), side="right") - 1).tolist())):
+                    for k, m in enumerate(WORDS.finditer(texts[i] or "")):
+                        if p[firsts[i] + k] >= mark:
+                            spans[i].append({"start": m.start(), "end": m.end(), "marginal": float(p[firsts[i] + k])})
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scores), pa.array(spans, span)], ["doc_id", "score", "spans"])
 
     return rows.mapInArrow(run, f"doc_id {kind}, score double, spans array<struct<start:int,end:int,marginal:double>>")
@@ -267,8 +306,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, most_toxic: int = 1500, m
 def keep_clean(docs: DataFrame, labels: DataFrame, most_toxic: int = 1500, most_clean: int = 3000, hold_out: tuple[int, int] = (4, 2), cut: float = 0.3, id_col="doc_id", text_col="text", label_col="toxic") -> DataFrame:
     """``docs``, all columns, without the rows whose text scores ``cut`` or more; learning as in :func:`score_toxicity`."""
     texts, toxic = training_texts(docs, labels, most_toxic, most_clean, hold_out, id_col, text_col, label_col)
-    names = docs.columns
-    flat = docs.toDF(*[f"_c{i}" for i in range(len(names))])
-    whole = flat.select(F.struct(*flat.columns).alias("row"), F.col(f"_c{names.index(text_col)}").alias("text"))
-    tagged = tag_documents(whole, fit(texts, toxic), id_col="row")
-    return tagged.where(F.col("score") < cut).select("doc_id.*").toDF(*names)
+    shared = docs.sparkSession.sparkContext.broadcast(fit(texts, toxic))
+    taggers: dict[int, Tagger] = {}  # one for each task's copy of this function
+
+    def clean(texts: list) -> np.ndarray:
+        if not taggers:
+            taggers[0] = Tagger(shared.value, FLOOR)
+        return taggers[0](texts)[0] < cut
+
+    return keep_where(docs, text_col, clean, 512)
