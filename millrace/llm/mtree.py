@@ -25,46 +25,48 @@ class MTree:
     q.p + |q| (d + r); a page that this rules out costs no computation. A leaf's vectors are ruled out the same way.
     """
 
-    def __init__(self, vectors: np.ndarray, ids: np.ndarray, page: int = 64, fan: int = 12, seed: int = 1) -> None:
+    def __init__(self, vectors: np.ndarray, ids: np.ndarray, page: int = 1024, fan: int = 16, seed: int = 1) -> None:
         self.vectors, self.ids = vectors, ids
-        self.router: list[np.ndarray] = []
-        self.radius: list[float] = []
-        self.to_parent: list[float] = []
-        self.children: list[list[int]] = []
-        self.members: list[np.ndarray] = []
-        self.member_far: list[np.ndarray] = []
-        self.computed = 0
-        rng = np.random.default_rng(seed)
+        self.root = np.zeros(vectors.shape[1])
+        self.root_radius = 0.0
+        #: Of a page of children: their places, routers, radii and distances to the page's router.
+        self.children: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None] = []
+        #: Of a leaf: where its vectors begin and end, nearest to its router first, and their distances to it.
+        self.members: list[tuple[int, int, np.ndarray] | None] = []
+        self.computed, self.order, self.filled = 0, [], 0
         if len(vectors):
-            self._build(np.arange(len(vectors)), vectors.mean(axis=0), None, page, fan, rng)
-
-    def _build(self, members: np.ndarray, router: np.ndarray, parent: np.ndarray | None, page: int, fan: int, rng: np.random.Generator) -> int:
-        node = len(self.router)
+            self.root = vectors.mean(axis=0)
+            self.root_radius = self._build(np.arange(len(vectors)), self.root, page, fan, np.random.default_rng(seed))[1]
+            order = np.concatenate(self.order)  # leaves lie one after the other
+            self.vectors, self.ids, self.order = vectors[order], ids[order], []
+
+    def _build(self, members: np.ndarray, router: np.ndarray, page: int, fan: int, rng: np.random.Generator) -> tuple[int, float]:
+        """(place, covering radius) of a new node."""
+        node = len(self.members)
         far = np.sqrt(((self.vectors[members] - router) ** 2).sum(axis=1))
-        self.router.append(router)
-        self.radius.append(float(far.max()))
-        self.to_parent.append(0.0 if parent is None else float(np.sqrt(((router - parent) ** 2).sum())))
-        self.children.append([])
-        self.members.append(members if len(members) <= page or far.max() == 0 else members[:0])
-        self.member_far.append(far if len(self.members[node]) else far[:0])
-        if not len(self.members[node]):
-            for part in self._parts(members, fan, rng):
-                centre = self.vectors[part].mean(axis=0)
-                self.children[node].append(self._build(part, centre, router, page, fan, rng))
-        return node
+        self.children.append(None)
+        self.members.append(None)
+        if len(members) <= page or far.max() == 0:
+            near = np.argsort(far)
+            self.order.append(members[near])
+            self.members[node] = (self.filled, self.filled + len(members), far[near])
+            self.filled += len(members)
+        else:
+            parts = self._parts(members, min(fan, max(2, -(-2 * len(members) // page))), rng)
+            routers = np.array([self.vectors[p].mean(axis=0) for p in parts])
+            built = [self._build(p, c, page, fan, rng) for p, c in zip(parts, routers, strict=True)]
+            away = np.sqrt(((routers - router) ** 2).sum(axis=1))
+            self.children[node] = (np.array([b[0] for b in built]), routers, np.array([b[1] for b in built]), away)
+        return node, float(far.max())
 
     def _parts(self, members: np.ndarray, fan: int, rng: np.random.Generator) -> list[np.ndarray]:
-        """Members by nearest of up to ``fan`` pivots, each the farthest of a few draws from those before it."""
-        pivots = [self.vectors[rng.choice(members)]]
-        near = ((self.vectors[members] - pivots[0]) ** 2).sum(axis=1)
-        which = np.zeros(len(members), np.int64)
-        while len(pivots) < fan and near.max() > 0:
-            draw = rng.integers(0, len(members), 16)
-            p = self.vectors[members[draw[np.argmax(near[draw])]]] if near[draw].max() > 0 else self.vectors[members[np.argmax(near)]]
-            d = ((self.vectors[members] - p) ** 2).sum(axis=1)
-            which[d < near] = len(pivots)
-            near = np.minimum(near, d)
-            pivots.append(p)
+        """Members by nearest of up to ``fan`` pivots drawn from them; copies of a pivot don't count as another."""
+        pivots = np.unique(self.vectors[rng.choice(members, min(fan, len(members)), replace=False)], axis=0)
+        if len(pivots) == 1:
+            far = ((self.vectors[members] - pivots[0]) ** 2).sum(axis=1)
+            pivots = np.stack((pivots[0], self.vectors[members[np.argmax(far)]]))
+        x = self.vectors[members]
+        which = np.argmin((pivots * pivots).sum(axis=1)[None, :] - 2 * (x @ pivots.T), axis=1)
         return [members[which == i] for i in range(len(pivots)) if (which == i).any()]
 
     def search(self, query: np.ndarray, own: int | None, k: int, least: float = -np.inf) -> list[tuple[int, int]]:
@@ -72,7 +74,7 @@ class MTree:
 
         Vectors that can't reach ``least`` may be left out.
         """
-        if not len(self.router):
+        if not self.members:
             return []
         norm = float(np.sqrt(query @ query))
         best: list[tuple[int, int]] = []  # a heap of (score, -id), the worst first
@@ -80,36 +82,40 @@ class MTree:
         def bar() -> float:
             return max(least, best[0][0]) if len(best) == k else least
 
-        to_router = float(query @ self.router[0])
-        queue = [(-(to_router + norm * self.radius[0]), 0, to_router)]
+        def reach(upto: np.ndarray) -> np.ndarray:
+            return upto + SLACK * (1 + np.abs(upto)) >= bar()
+
+        to_router = float(query @ self.root)
+        queue = [(-(to_router + norm * self.root_radius), 0, to_router)]
         while queue:
             bound, node, to_router = heapq.heappop(queue)
             if -bound + SLACK * (1 + abs(bound)) < bar():
                 break
-            members = self.members[node]
-            if len(members):
-                can = to_router + norm * self.member_far[node]
-                rows = members[can + SLACK * (1 + np.abs(can)) >= bar()]
-                scores = self.vectors[rows] @ query
-                self.computed += len(rows)
-                for s, i in zip(scores.tolist(), self.ids[rows].tolist(), strict=True):
+            if self.members[node] is not None:
+                first, last, far = self.members[node]
+                first += int(np.argmax(can)) if (can := reach(to_router + norm * far)).any() else last - first
+                scores, places = self.vectors[first:last] @ query, np.arange(first, last)
+                self.computed += last - first
+                if len(scores) > 4 * k:  # no more than k of a page can matter, and those that tie with the last
+                    some = scores >= np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1]
+                    places, scores = places[some], scores[some]
+                some = scores >= bar()
+                for s, i in zip(scores[some].tolist(), self.ids[places[some]].tolist(), strict=True):
                     entry = (int(s), -i)
-                    if i == own or s < least:
+                    if i == own:
                         continue
                     if len(best) < k:
                         heapq.heappush(best, entry)
                     elif entry > best[0]:
                         heapq.heapreplace(best, entry)
                 continue
-            for c in self.children[node]:
-                early = to_router + norm * (self.to_parent[c] + self.radius[c])
-                if early + SLACK * (1 + abs(early)) < bar():
-                    continue
-                to_child = float(query @ self.router[c])
-                self.computed += 1
-                upto = to_child + norm * self.radius[c]
-                if upto + SLACK * (1 + abs(upto)) >= bar():
-                    heapq.heappush(queue, (-upto, c, to_child))
+            nodes, routers, radii, away = self.children[node]
+            some = np.flatnonzero(reach(to_router + norm * (away + radii)))
+            to_child = routers[some] @ query
+            self.computed += len(some)
+            upto = to_child + norm * radii[some]
+            for x in np.flatnonzero(reach(upto)).tolist():
+                heapq.heappush(queue, (-float(upto[x]), int(nodes[some[x]]), float(to_child[x])))
         return [(s, -i) for s, i in sorted(best, reverse=True)]
 
 
