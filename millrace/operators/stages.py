@@ -94,7 +94,7 @@ class Filter(Stage):
             c = c(flow.visible())
         if not isinstance(c, Column):
             c = predicate(lower(c, flow.visible().schema, flow.strict_columns))
-        return replace(flow, df=flow.df.where(F.coalesce(c, F.lit(False))))
+        return replace(flow, df=flow.df.where(c))  # NULL drops too
 
 
 @dataclass(frozen=True)
