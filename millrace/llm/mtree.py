@@ -94,16 +94,16 @@ class MTree:
             if self.members[node] is not None:
                 first, last, far = self.members[node]
                 first += int(np.argmax(can)) if (can := reach(to_router + norm * far)).any() else last - first
-                scores, places = self.vectors[first:last] @ query, np.arange(first, last)
+                scores, ids = self.vectors[first:last] @ query, self.ids[first:last]
                 self.computed += last - first
+                if own is not None and (ids == own).any():
+                    scores, ids = scores[ids != own], ids[ids != own]
                 if len(scores) > 4 * k:  # no more than k of a page can matter, and those that tie with the last
-                    some = scores >= np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1]
-                    places, scores = places[some], scores[some]
+                    some = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
+                    scores, ids = scores[some], ids[some]
                 some = scores >= bar()
-                for s, i in zip(scores[some].tolist(), self.ids[places[some]].tolist(), strict=True):
+                for s, i in zip(scores[some].tolist(), ids[some].tolist(), strict=True):
                     entry = (int(s), -i)
-                    if i == own:
-                        continue
                     if len(best) < k:
                         heapq.heappush(best, entry)
                     elif entry > best[0]:
