@@ -56,6 +56,18 @@ class PreTokens:
         return [chunk[a:b] for _, (a, b) in self.cut.pre_tokenize_str(chunk)]
 
 
+def least_frequency(vocabulary: DataFrame, most: int) -> int:
+    """A frequency that at most ``most`` pre-tokens reach, from a histogram of a few hundred steps: no global sort."""
+    step = F.floor(F.log2("n") * 16)
+    left, least = most, 1 << 62
+    for r in vocabulary.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least")).orderBy(F.col("step").desc()).collect():
+        left -= r.k
+        if left < 0:
+            break
+        least = r.least
+    return least
+
+
 def count_tokens(
     docs: DataFrame,
     tokenizer_name: str = "byte_bpe_50k.json",
@@ -67,7 +79,7 @@ def count_tokens(
     """(doc_id, n_bytes, n_tokens, over_limit) for every row of ``docs``, as the tokenizer counts its whole text.
 
     1. Each task counts its different pre-tokens; the counts are summed by pre-token. 2. A pre-token's pieces are
-    counted once. 3. The ``dictionary`` most frequent pre-tokens are broadcast (a fixed bound, so no pre-token that
+    counted once. 3. The most frequent pre-tokens, ``dictionary`` of them at most, are broadcast (so none that
     is left is hot); each document's frequencies of those are joined where it is read, and its frequencies of all
     others are joined to the table of pieces by a shuffle. 4. The sums meet by row. Ids are never made.
 
@@ -106,7 +118,7 @@ def count_tokens(
 
     freq = rows.select("text").mapInArrow(gather, "pre string, n long").groupBy("pre").agg(F.sum("n").alias("n"))
     vocabulary = stored(freq.mapInArrow(pieces, "pre string, n long, pieces int"))
-    top = vocabulary.orderBy(F.col("n").desc(), "pre").limit(dictionary).select("pre", "pieces").toArrow()
+    top = vocabulary.where(F.col("n") >= least_frequency(vocabulary, dictionary)).select("pre", "pieces").toArrow()
     frequent = dict(zip(top.column("pre").to_pylist(), top.column("pieces").to_pylist(), strict=True))
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
