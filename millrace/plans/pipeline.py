@@ -70,10 +70,11 @@ class Pipeline:
         self._source = (name, read, text)
         return self
 
-    def read_csv(self, path: str, chunk_size: int | None = None, multi_line: bool | None = None, types: Mapping[str, str] | None = None) -> Pipeline:
-        """``chunk_size`` is taken for the sake of callers that give it; Spark sizes its own tasks."""
+    def read_csv(self, path: str, chunk_size: int | None = None, multi_line: bool | None = None, infer_rows: int | None = None, types: Mapping[str, str] | None = None) -> Pipeline:
+        """``chunk_size`` is taken for the sake of callers that give it; Spark sizes its own tasks. ``infer_rows``: types
+        come from so many first rows, and a later cell that doesn't fit is an error; ``types`` gives them outright."""
         policy = self._policy
-        return self._from("csv", lambda: files.read_csv(self.spark, path, policy, multi_line, types=dict(types or {})))
+        return self._from("csv", lambda: files.read_csv(self.spark, path, policy, multi_line, infer_rows, dict(types or {})))
 
     def read_jsonl(self, path: str) -> Pipeline:
         policy = self._policy

@@ -5,14 +5,16 @@ from __future__ import annotations
 import csv
 import gzip
 import os
+import re
 from dataclasses import dataclass
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import ConfigError, CsvError, IoError, JsonError, SchemaError
-from ..types import SPARK, parse_date, parse_timestamp
+from ..types import SPARK, TIMESTAMP_TEXT, parse_date, parse_timestamp
 
 CORRUPT = "__mr_corrupt"
 MAX_RECORD = 16 * 1024 * 1024
@@ -147,26 +149,91 @@ def read_csv(spark: SparkSession, path: str, policy: Policy = Policy(), multi_li
         _quarantine(policy, _broken(raw), ",".join(names))
     cell = {n: F.nullif(F.trim(F.col(f"`{n}`")), F.lit("")) for n in names}
     try:
-        kinds = _climb(good if infer_rows is None else good.limit(infer_rows), cell, types or {})
+        kinds = _climb(good, cell, types or {}) if infer_rows is None else _climb_first(good, cell, types or {}, infer_rows)
     except Exception as e:
         raise malformed_csv(path, e) from e
-    typed = [(LADDER[kinds[n]](cell[n]) if kinds[n] in LADDER else cell[n]).cast(SPARK[kinds[n]]) for n in names]
-    checked = [
-        F.when(c.isNull() & cell[n].isNotNull(), F.raise_error(F.concat(F.lit(f"{path}: column {n}: not {kinds[n]}: "), cell[n])).cast(SPARK[kinds[n]])).otherwise(c)
-        for n, c in zip(names, typed, strict=True)
-    ]
-    whole = infer_rows is None and not types
-    return good.select(*[c.alias(n) for n, c in zip(names, typed if whole else checked, strict=True)])
+    cells = good.select(*[cell[n].alias(n) for n in names])
+    whole = infer_rows is None and not types  # then every cell is known to fit
+    return cells.select(*[(_fitting(n, kinds[n]) if whole else _checked(n, kinds[n], path)).alias(n) for n in names])
+
+
+def _fitting(name: str, kind: str) -> Column:
+    """A cell that fits its column's type, as a value of it."""
+    c = F.col(f"`{name}`")
+    match kind:
+        case "utf8":
+            return c
+        case "int32" | "int64":
+            return c.cast(SPARK[kind])
+        case "bool":
+            return F.lower(c) == "true"
+    return LADDER[kind](c).cast(SPARK[kind])
+
+
+def _checked(name: str, kind: str, path: str) -> Column:
+    c = F.col(f"`{name}`")
+    if kind == "utf8":
+        return c
+    bad = F.raise_error(F.concat(F.lit(f"{path}: column {name}: not {kind}: "), c)).cast(SPARK[kind])
+    return F.when(c.isNotNull(), F.coalesce(c.try_cast(SPARK[kind]) if kind in ("int32", "int64") else LADDER[kind](c).cast(SPARK[kind]), bad))
+
+
+
+
+#: Masks of rungs (1 for bool, 2 for int32, ...) whose cells a column of the type may have.
+_ROOM = {"bool": 1, "int32": 2, "int64": 2 | 4, "float64": 2 | 4 | 8, "date": 16, "timestamp": 32}
+
+
+def _rung(c: Column) -> Column:
+    """The mask of the first rung that a cell fits; 64 if it fits none, 0 if it is empty."""
+    number = F.when(LADDER["int32"](c).isNotNull(), 2).when(LADDER["int64"](c).isNotNull(), 4).otherwise(8)
+    when = F.when(c.isNull(), 0).when(F.lower(c).isin("true", "false"), 1).when(c.rlike(INT), number)
+    when = when.when(c.rlike(FLOAT), 8).when(parse_date(c).isNotNull(), 16)
+    return when.when(c.rlike(r"^\d{4}-\d{2}-\d{2}[T ]") & parse_timestamp(c).isNotNull(), 32).otherwise(64)
 
 
 def _climb(good: DataFrame, cell: dict[str, Column], given: dict[str, str]) -> dict[str, str]:
     asked = [n for n in cell if n not in given]
     kinds = dict(given)
     if asked:
-        misfits = [F.count_if(cell[n].isNotNull() & fit(cell[n]).isNull()).alias(f"{i}_{k}") for i, n in enumerate(asked) for k, fit in LADDER.items()]
-        row = good.agg(*misfits).first()
+        cells = good.select(*[cell[n].alias(f"c{i}") for i, n in enumerate(asked)])
+        row = cells.agg(*[F.bit_or(_rung(F.col(f"c{i}"))).alias(f"c{i}") for i in range(len(asked))]).first()
         for i, n in enumerate(asked):
-            kinds[n] = next((k for k in LADDER if not row[f"{i}_{k}"]), "utf8")
+            mask = row[f"c{i}"] or 0
+            kinds[n] = next((k for k, room in _ROOM.items() if not mask & ~room), "utf8")
+    return kinds
+
+
+def _is_date(x: str) -> bool:
+    try:
+        return bool(re.fullmatch(r"\d{4}-\d{2}-\d{2}", x)) and bool(date.fromisoformat(x))
+    except ValueError:
+        return False
+
+
+def rung_of(x: str) -> int:
+    """The mask of the first rung that a cell fits, as :func:`_rung` has it, for the few rows that the driver looks at."""
+    if x.lower() in ("true", "false"):
+        return 1
+    if re.fullmatch(r"[+-]?[0-9]+", x):
+        n = int(x)
+        return 2 if -(2**31) <= n < 2**31 else 4 if -(2**63) <= n < 2**63 else 8
+    if re.search(FLOAT, x):
+        return 8
+    if _is_date(x):
+        return 16
+    return 32 if re.search(TIMESTAMP_TEXT, x) and _is_date(x[:10]) else 64
+
+
+def _climb_first(good: DataFrame, cell: dict[str, Column], given: dict[str, str], rows: int) -> dict[str, str]:
+    kinds = dict(given)
+    asked = [n for n in cell if n not in given]
+    found = good.select(*[cell[n].alias(f"c{i}") for i, n in enumerate(asked)]).limit(rows).toArrow()
+    for i, n in enumerate(asked):
+        mask = 0
+        for x in found.column(i).unique().to_pylist():
+            mask |= rung_of(x) if x is not None else 0
+        kinds[n] = next((k for k, room in _ROOM.items() if not mask & ~room), "utf8")
     return kinds
 
 

@@ -54,6 +54,8 @@ def kinds(p):
 def test_ladder(spark, put, cells, kind):
     p = Pipeline(spark).read_csv(put("t.csv", "k,v\n" + "".join(f"0,{c}\n" for c in cells)))
     assert kinds(p)["v"] == kind
+    first = Pipeline(spark).read_csv(put("u.csv", "k,v\n" + "".join(f"0,{c}\n" for c in cells)), infer_rows=10)
+    assert kinds(first)["v"] == kind and repr(first.collect()) == repr(p.collect())
 
 
 def test_csv_text(spark, put):
