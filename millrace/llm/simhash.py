@@ -163,7 +163,7 @@ def link_leaf(fps: np.ndarray, home: np.ndarray, guest: np.ndarray, reach: int,
 def linked(distinct: DataFrame, reach: int = 3, sample: int = 1 << 16, leaf: int = 1 << 18, depth: int = 6) -> DataFrame:
     """(u, v): links that join all fingerprints of ``distinct`` (fp, once each) that lie within ``reach`` bits.
 
-    The tree comes from at most ``sample`` fingerprints (those of least hash), its depth from the number of all:
+    The tree comes from at most ``sample`` fingerprints (picked by a hash), its depth from the number of all:
     at least ``depth``, and more where leaves would hold over ``leaf``. Each leaf gives a spanning forest of its links,
     fewer rows than it has members, in place of the pairs.
     """
@@ -171,7 +171,9 @@ def linked(distinct: DataFrame, reach: int = 3, sample: int = 1 << 16, leaf: int
     n = distinct.count()
     if n < 2:
         return spark.createDataFrame([], "u long, v long")
-    some = [r.fp for r in distinct.select("fp", F.xxhash64("fp").alias("h")).orderBy("h").limit(sample).collect()]
+    # About a fifth more than is wanted pass the hash's filter, so that no task gathers a full sample from each other one.
+    passed = F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(min(1.0, 1.2 * sample / n) * (1 << 30))
+    some = [r.fp for r in distinct.where(passed).select("fp", F.xxhash64("fp").alias("h")).orderBy("h").limit(sample).collect()]
     some = np.array(some, np.int64).view(np.uint64)
     depth = min(max(depth, int(np.ceil(np.log2(n / leaf)))), int(np.log2(max(len(some) // 4, 2))))
     tree = spark.sparkContext.broadcast(VantageTree(some, depth, reach))
