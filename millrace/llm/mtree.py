@@ -163,7 +163,12 @@ def top_k(
     d, n = sizes.d, sizes.n
     rows = rows.where(F.size("v") == d)
     wanted = int(min(most_pivots, max(1, round(n / shard))))
-    drawn = rows.select("v", F.xxhash64("v").alias("h")).groupBy("h").agg(F.first("v").alias("v")).orderBy("h").limit(wanted).toArrow()
+    hashed = rows.select("v", F.xxhash64("v").alias("h"))
+    passed = hashed.where(F.pmod(F.xxhash64("h"), F.lit(1 << 30)) < int(min(1.0, 16 * wanted / n) * (1 << 30)))
+    for some in (passed, hashed):  # none may pass where most vectors are copies
+        drawn = some.groupBy("h").agg(F.first("v").alias("v")).orderBy("h").limit(wanted).toArrow()
+        if drawn.num_rows:
+            break
     pivots = dense(drawn.column("v"), d)
     pivots_ = spark.sparkContext.broadcast(pivots)
 
