@@ -160,12 +160,14 @@ def link_leaf(fps: np.ndarray, home: np.ndarray, guest: np.ndarray, reach: int,
             classes.add(every[i[apart]], every[j[apart]])
 
 
-def linked(distinct: DataFrame, reach: int = 3, sample: int = 1 << 16, leaf: int = 1 << 18, depth: int = 6) -> DataFrame:
+def linked(distinct: DataFrame, reach: int = 3, sample: int = 1 << 16, leaf: int = 1 << 18, depth: int = 6, block: int = 1 << 16) -> DataFrame:
     """(u, v): links that join all fingerprints of ``distinct`` (fp, once each) that lie within ``reach`` bits.
 
     The tree comes from at most ``sample`` fingerprints (picked by a hash), its depth from the number of all:
     at least ``depth``, and more where leaves would hold over ``leaf``. Each leaf gives a spanning forest of its links,
-    fewer rows than it has members, in place of the pairs.
+    fewer rows than it has members, in place of the pairs. A leaf that is at home to over ``block`` fingerprints, and over
+    four times its share (a ball of near copies, which no tree divides), is dealt by hash into blocks of about that
+    size, and each two blocks of it become a task: every pair still meets, and no task gets more than two blocks.
     """
     spark = distinct.sparkSession
     n = distinct.count()
@@ -189,6 +191,8 @@ def linked(distinct: DataFrame, reach: int = 3, sample: int = 1 << 16, leaf: int
     def solve(_, group):
         fps = group.column("fp").to_numpy().view(np.uint64)
         home = group.column("home").to_numpy(zero_copy_only=False)
+        if group.column("divided")[0].as_py():  # a guest of the leaf may be a partner of any of its homes
+            home = np.ones(len(fps), bool)
         classes = Classes(len(fps))
         link_leaf(fps, np.flatnonzero(home), np.flatnonzero(~home), reach, classes, np.random.default_rng(1))
         classes.flatten()
@@ -196,7 +200,15 @@ def linked(distinct: DataFrame, reach: int = 3, sample: int = 1 << 16, leaf: int
         return pa.table({"u": fps[bound].view(np.int64), "v": fps[classes.parent[bound]].view(np.int64)})
 
     routed = distinct.select("fp").mapInArrow(route, "leaf long, fp long, home boolean")
-    return routed.groupBy("leaf").applyInArrow(solve, "u long, v long")
+    homes = F.count_if("home")
+    large = routed.groupBy("leaf").agg(homes.alias("homes"), F.count(F.lit(1)).alias("n")).where(F.col("homes") > max(block, 4 * n >> depth)).collect()
+    parts = spark.createDataFrame([(r.leaf, -(-r.n // block)) for r in large], "leaf long, blocks long")  # a row for each leaf at most
+    routed = routed.join(F.broadcast(parts), "leaf", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+    b = F.pmod(F.xxhash64("fp"), F.col("blocks"))
+    routed = routed.withColumn("b", b)
+    routed = routed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = routed.select("leaf", F.least("b", "other").alias("i"), F.greatest("b", "other").alias("j"), "fp", "home", (F.col("blocks") > 1).alias("divided"))
+    return dealt.groupBy("leaf", "i", "j").applyInArrow(solve, "u long, v long")
 
 
 def simhash_components(docs: DataFrame, reach: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

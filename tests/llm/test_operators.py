@@ -369,6 +369,8 @@ def test_vantage_links(spark):
     fps = np.unique(np.concatenate((base, np.array(close, np.uint64), np.array(ball, np.uint64))))
     df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long").repartition(4)
     labels = {r.node: r.label for r in components.components(simhash.linked(df, 3, sample=256, leaf=100, depth=4)).collect()}
+    divided = {r.node: r.label for r in components.components(simhash.linked(df, 3, sample=256, leaf=4000, depth=6, block=40)).collect()}
+    assert divided == labels
     links = [(a, int(b)) for a in range(len(fps)) for b in np.flatnonzero(np.bitwise_count(fps[:a] ^ fps[a]) <= 3)]
     group = classes(len(fps), links)
     signed = fps.view(np.int64).tolist()
