@@ -363,3 +363,54 @@ def q52_sort_then_dedup(spark, d):
 @query("SELECT event_id FROM events WHERE event_id IN (SELECT event_id FROM events ORDER BY value DESC, event_id LIMIT 40) ORDER BY event_id LIMIT 40")
 def q53_sort_map_limit(spark, d):
     return scan(spark, d, "events").sort(["value"], descending=True).map({"event_id": "event_id"}).limit(40).to_df()
+
+
+@query("SELECT o_orderpriority, count(*) AS count_all, CAST(max(o_custkey) AS BIGINT) AS max_o_custkey FROM orders WHERE o_totalprice > 1000 AND o_orderstatus <> 'P' GROUP BY o_orderpriority ORDER BY o_orderpriority LIMIT 3")
+def q54_toml_spec(spark, d):
+    from .spec import build, read_spec
+
+    text = f"""
+    [source]
+    parquet = "{d}/orders.parquet"
+    [[stages]]
+    filter = "o_totalprice > 1000 and o_orderstatus != 'P'"
+    [[stages]]
+    expect = {{ rows_at_least = 1, no_nulls = ["o_orderkey"] }}
+    [[stages]]
+    aggregate = {{ group_by = ["o_orderpriority"], aggs = {{ o_custkey = "max", "*" = "count_all" }} }}
+    [[stages]]
+    sort = {{ columns = ["o_orderpriority"] }}
+    [[stages]]
+    limit = 3
+    """
+    return build(read_spec(text), spark).to_df()
+
+
+@query("SELECT CAST(n_nationkey AS INTEGER) AS n_nationkey, n_name FROM nation WHERE n_nationkey % 4 <> 1")
+def q55_skip_malformed(spark, d):
+    rows = spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey", "n_name").orderBy("n_nationkey").collect()
+    path = os.path.join(_folder(), "nation.csv")
+    with open(path, "w", encoding="utf-8") as f:
+        f.write("n_nationkey,n_name\n")
+        f.writelines(f"{r.n_nationkey},{r.n_name}{',extra' if r.n_nationkey % 4 == 1 else ''}\n" for r in rows)
+    return Pipeline(spark).on_error("skip").read_csv(path).to_df()
+
+
+@query("SELECT CAST(s_suppkey AS INTEGER) AS s_suppkey, s_name FROM supplier")
+def q56_gzip(spark, d):
+    path = os.path.join(_folder(), "supplier.csv")
+    spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", "s_name").coalesce(1).write.option("header", True).option("compression", "gzip").csv(path)
+    return Pipeline(spark).read_csv(f"{path}/*.csv.gz").to_df()
+
+
+@query("SELECT event_id, event_type FROM events WHERE event_type = 'click' AND ts >= TIMESTAMP '2024-01-02 00:00:00' AND ts < TIMESTAMP '2024-01-20 12:30:00'")
+def q57_time_window(spark, d):
+    return scan(spark, d, "events").filter("event_type == 'click' and ts >= '2024-01-02T00:00:00Z' and ts < '2024-01-20 14:30+02:00'").select(["event_id", "event_type"]).to_df()
+
+
+@query("SELECT c.c_custkey, n.n_name, o.o_orderkey FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 400000) o ON c.c_custkey = o.o_custkey")
+def q58_join_chain(spark, d):
+    nation = scan(spark, d, "nation").select(["n_nationkey", "n_name"])
+    big = scan(spark, d, "orders").filter("o_totalprice > 400000").select(["o_orderkey", "o_custkey"])
+    p = scan(spark, d, "customer").select(["c_custkey", "c_nationkey"]).join(nation, ["c_nationkey"], ["n_nationkey"]).join(big, ["c_custkey"], ["o_custkey"], "left")
+    return p.select(["c_custkey", "n_name", "o_orderkey"]).to_df()

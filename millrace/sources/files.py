@@ -9,6 +9,8 @@ import re
 from dataclasses import dataclass
 from datetime import date
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -225,14 +227,29 @@ def rung_of(x: str) -> int:
     return 32 if re.search(TIMESTAMP_TEXT, x) and _is_date(x[:10]) else 64
 
 
+def _rungs(cells: pa.Array) -> int:
+    """The masks of all cells together: whole columns at a time, but for what looks like a time."""
+    mask = 0
+    for pattern, bits in ((r"(?i)^(true|false)$", 1), (INT, None), (FLOAT, 8), (r"^\d{4}-\d{2}-\d{2}", None)):
+        fits = pc.match_substring_regex(cells, pattern)
+        hit, cells = cells.filter(fits), cells.filter(pc.invert(fits))
+        if bits is not None:
+            mask |= bits if len(hit) else 0
+        elif pattern == INT and len(hit) and pc.max(pc.binary_length(hit)).as_py() < 19:
+            ends = pc.min_max(pc.cast(pc.utf8_ltrim(hit, "+"), pa.int64())).as_py()
+            mask |= rung_of(str(ends["min"])) | rung_of(str(ends["max"]))
+        else:
+            for x in hit.unique().to_pylist():
+                mask |= rung_of(x)
+    return mask | (64 if len(cells) else 0)
+
+
 def _climb_first(good: DataFrame, cell: dict[str, Column], given: dict[str, str], rows: int) -> dict[str, str]:
     kinds = dict(given)
     asked = [n for n in cell if n not in given]
     found = good.select(*[cell[n].alias(f"c{i}") for i, n in enumerate(asked)]).limit(rows).toArrow()
     for i, n in enumerate(asked):
-        mask = 0
-        for x in found.column(i).unique().to_pylist():
-            mask |= rung_of(x) if x is not None else 0
+        mask = _rungs(found.column(i).combine_chunks().drop_null())
         kinds[n] = next((k for k, room in _ROOM.items() if not mask & ~room), "utf8")
     return kinds
 
