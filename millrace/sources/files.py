@@ -198,8 +198,9 @@ def _climb(good: DataFrame, cell: dict[str, Column], given: dict[str, str]) -> d
     asked = [n for n in cell if n not in given]
     kinds = dict(given)
     if asked:
-        cells = good.select(*[cell[n].alias(f"c{i}") for i, n in enumerate(asked)])
-        row = cells.agg(*[F.bit_or(_rung(F.col(f"c{i}"))).alias(f"c{i}") for i in range(len(asked))]).first()
+        # A lambda's variable stands for a cell, where a plain column would be expanded at each of its many uses.
+        rungs = good.select(F.transform(F.array(*[cell[n] for n in asked]), _rung).alias("r"))
+        row = rungs.agg(*[F.bit_or(F.get("r", F.lit(i))).alias(f"c{i}") for i in range(len(asked))]).first()
         for i, n in enumerate(asked):
             mask = row[f"c{i}"] or 0
             kinds[n] = next((k for k, room in _ROOM.items() if not mask & ~room), "utf8")
