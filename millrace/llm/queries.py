@@ -112,7 +112,7 @@ WITH d AS (
 ), v AS (
   SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m
 )
-SELECT *, NOT base_failed AND n_words - n_frequent_words >= 10 AND n_words - n_frequent_words >= 0.3 * n_words AS kept FROM v
+SELECT *, NOT base_failed AND n_words - n_frequent_words >= 0.3 * n_words AS kept FROM v
 """
 
 

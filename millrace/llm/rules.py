@@ -84,8 +84,7 @@ def quality_rules(
 
     base_failed: fewer than ``min_words`` words, or over ``most_repeated`` % of them in 5-word windows found twice.
     A normalised line is frequent if over ``min_docs`` and over ``share`` of the different texts of its host have it.
-    Frequent lines go; a document is depleted if fewer than ``min_words`` words or less than ``least_left`` of its
-    words are left. kept: neither. A null text has no words, so it fails; a null host is a host of its own; rows alike
+    Frequent lines go; a document is depleted if less than ``least_left`` of its words are left. kept: neither. A null text has no words, so it fails; a null host is a host of its own; rows alike
     get the same verdict; an empty table gives an empty result.
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_frequent_words (words in frequent
@@ -95,7 +94,7 @@ def quality_rules(
     scored = scored.join(removed, ["host_key", "text_key"], "left").withColumn("n_frequent_words", F.coalesce("gone", F.lit(0)).cast("long"))
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * most_repeated)
     left = F.col("n_words") - F.col("n_frequent_words")
-    enough = (left >= min_words) & (left >= F.col("n_words") * F.lit(float(least_left)))
+    enough = left >= F.col("n_words") * F.lit(float(least_left))
     metrics = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_frequent_words"]
     return scored.select("doc_id", *metrics, failed.alias("base_failed"), (~failed & enough).alias("kept"))
 
