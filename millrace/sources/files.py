@@ -36,6 +36,11 @@ def _float(c: Column) -> Column:
     return F.when(c.rlike(FLOAT), F.coalesce(word, plain).try_cast("double"))
 
 
+def _quick_float(c: Column) -> Column:
+    """The same value without patterns for all ordinary cells; a last letter d or f would be a suffix to Spark's cast."""
+    return F.coalesce(F.when(~F.substring(c, -1, 1).isin("d", "D", "f", "F"), c.try_cast("double")), _float(c))
+
+
 #: Types in the order in which a column of text climbs; a column takes the first that all its cells fit, else utf8.
 LADDER = {
     "bool": _bool,
@@ -169,6 +174,8 @@ def _fitting(name: str, kind: str) -> Column:
             return c.cast(SPARK[kind])
         case "bool":
             return F.lower(c) == "true"
+        case "float64":
+            return _quick_float(c)
     return LADDER[kind](c).cast(SPARK[kind])
 
 
@@ -177,7 +184,7 @@ def _checked(name: str, kind: str, path: str) -> Column:
     if kind == "utf8":
         return c
     bad = F.raise_error(F.concat(F.lit(f"{path}: column {name}: not {kind}: "), c)).cast(SPARK[kind])
-    return F.when(c.isNotNull(), F.coalesce(c.try_cast(SPARK[kind]) if kind in ("int32", "int64") else LADDER[kind](c).cast(SPARK[kind]), bad))
+    return F.when(c.isNotNull(), F.coalesce(c.try_cast(SPARK[kind]) if kind in ("int32", "int64") else _quick_float(c) if kind == "float64" else LADDER[kind](c).cast(SPARK[kind]), bad))
 
 
 
