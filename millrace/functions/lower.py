@@ -22,10 +22,10 @@ NOTHING = ("null", "other")
 
 
 class Typed:
-    """A column and its canonical type."""
+    """A column and its canonical type; ``finite``: whether it is a number written out, so neither NULL nor NaN."""
 
-    def __init__(self, column: Column, kind: str) -> None:
-        self.column, self.kind = column, kind
+    def __init__(self, column: Column, kind: str, finite: bool = False) -> None:
+        self.column, self.kind, self.finite = column, kind, finite
 
 
 def null(kind: str = "null") -> Typed:
@@ -55,6 +55,11 @@ def compare(op: str, a: Typed, b: Typed) -> Typed:
         plain = _compare(op, left, right)
         if kinds <= set(INTS):
             return Typed(plain, "bool")
+        if a.finite != b.finite:
+            # NaN is above all numbers to Spark; only a comparison that this makes true needs a guard. What is left is
+            # a plain comparison, which a scan can be given.
+            x, above = (a, op in (">", ">=")) if b.finite else (b, op in ("<", "<="))
+            return Typed(plain & ~F.isnan(x.column) if above and x.kind in FLOATS else plain, "bool")
         return Typed(F.when(either_null(a, b), F.lit(None).cast("boolean")).when(_nan(a) | _nan(b), F.lit(op == "!=")).otherwise(plain), "bool")
     if a.kind == b.kind and a.kind in ("utf8", "bool", "date", "timestamp"):
         return Typed(_compare(op, a.column, b.column), "bool")
@@ -137,8 +142,8 @@ def _floats(op: str, x: Column, y: Column) -> Column:
 def negative(x: Typed) -> Typed:
     if x.kind in INTS:
         zero = F.lit(0).cast(SPARK[x.kind])
-        return Typed(F.coalesce(F.try_subtract(zero, x.column), x.column).cast(SPARK[x.kind]), x.kind)
-    return Typed(-x.column, x.kind) if x.kind in FLOATS else null("int64")
+        return Typed(F.coalesce(F.try_subtract(zero, x.column), x.column).cast(SPARK[x.kind]), x.kind, x.finite)
+    return Typed(-x.column, x.kind, x.finite) if x.kind in FLOATS else null("int64")
 
 
 def truth(x: Typed) -> Column:
@@ -233,9 +238,9 @@ def literal(value: object) -> Typed:
         case bool():
             return Typed(F.lit(value), "bool")
         case int():
-            return Typed(F.lit(value).cast("bigint"), "int64")
+            return Typed(F.lit(value).cast("bigint"), "int64", True)
         case float():
-            return Typed(F.lit(value), "float64")
+            return Typed(F.lit(value), "float64", True)
     return Typed(F.lit(value), "utf8")
 
 

@@ -186,3 +186,7 @@ def test_pushdown(spark, tmp_path):
     df = Pipeline(spark).read_parquet(str(tmp_path / "t")).filter("id > 90").select(["a"]).to_df()
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(id,90)" in plan and "ReadSchema: struct<id:bigint,a:bigint>" in plan
+    spark.range(100).selectExpr("id", "cast(id AS double) AS f").write.parquet(str(tmp_path / "u"))
+    df = Pipeline(spark).read_parquet(str(tmp_path / "u")).filter("f > 45 and f <= 90.5").to_df()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(f,45.0)" in plan and "LessThanOrEqual(f,90.5)" in plan and df.count() == 45
