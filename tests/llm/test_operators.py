@@ -452,6 +452,13 @@ def test_rules(spark, docs, empty):
     assert rules.quality_rules(empty).count() == 0
 
 
+def test_rules_hot_host(spark):
+    line = "A line that sixty texts of the host have."
+    rows = [(i, f"{line if i < 60 else f'line {i}'}\n" + " ".join(f"w{i}x{k}" for k in range(20)), "hot") for i in range(2000)]
+    by = {r.doc_id: r for r in rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert {i for i, r in by.items() if r.n_frequent_words} == set(range(60)) and by[0].n_frequent_words == 9
+
+
 # 10
 
 
