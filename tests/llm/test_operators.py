@@ -459,6 +459,14 @@ def test_rules_hot_host(spark):
     assert {i for i, r in by.items() if r.n_frequent_words} == set(range(60)) and by[0].n_frequent_words == 9
 
 
+def test_rules_few_words_left(spark):
+    line = "Eight words that many texts of it have."
+    rows = [(i, f"{line}\n" + " ".join(f"w{i}x{k}" for k in range(4 + i)), "host") for i in range(12)]
+    by = {r.doc_id: r for r in rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(r.n_frequent_words == 8 and not r.base_failed for r in by.values())
+    assert {i for i, r in by.items() if r.kept} == set(range(6, 12))
+
+
 # 10
 
 
