@@ -7,14 +7,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import crc_remainder, pick
 
 #: Contexts that are kept at each order and for each language, the most frequent ones.
 MOST_CONTEXTS = 20_000
-#: Bytes of text that are scored at a time.
+#: Bytes of text that are scored, or counted, at a time.
 BLOCK = 1 << 20
 
 
@@ -95,11 +95,11 @@ class ContextTrees:
         return found[shorter[at] == short]
 
     def _link(self) -> None:
-        """rows: all nodes' bits in one table; child[k][node of k bytes, earlier byte]: node of k + 1 bytes, or -1."""
+        """rows: all nodes' bits in one table; child[k][node of k bytes, earlier byte]: node of k + 1 bytes, or -1; none for k = order."""
         starts = np.cumsum([0] + [len(c) for c in self.contexts])
         self.rows = np.concatenate(self.bits).reshape(-1, len(self.langs))
         self.bits = []
-        self.child = np.full((int(starts[-1]), 256), -1, np.int32)
+        self.child = np.full((int(starts[-2]), 256), -1, np.int32)
         for k in range(1, self.order + 1):
             keep = self.contexts[k]
             short, early = keep & ((1 << 8 * (k - 1)) - 1), keep >> (8 * (k - 1))
@@ -143,33 +143,42 @@ class ContextTrees:
 
 
 def train(labelled: DataFrame, order: int = 3, docs_per_lang: int = 1500, seed: int = 5) -> ContextTrees | None:
-    """Trees from (text, lang): about ``docs_per_lang`` documents of each language, drawn by a hash of the text.
+    """Trees from (text, lang): at most ``docs_per_lang`` different texts of each language, those of least hash.
 
-    That number, a parameter, bounds what is learned from; drawn texts count whole. Counts are summed in partitions,
-    then by language. None if no row has both a text and a language.
+    That number, a parameter, bounds what is learned from; drawn texts count whole, and once, however many copies there
+    are. Counts are summed in partitions, then by language. None if no row has both a text and a language.
     """
     usable = labelled.where("text is not null and lang is not null and text <> ''").select("text", F.col("lang").cast("string").alias("lang"))
-    totals = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not totals:
-        return None
-    share = F.create_map(*[F.lit(x) for lang, n in totals.items() for x in (lang, min(1.0, docs_per_lang / n))])
-    drawn = usable.where(F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20))
+    usable = usable.withColumn("h", F.xxhash64(F.lit(seed), "text"))
+    least = usable.select("lang", "h").distinct().withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
+    least = least.where(F.col("at") <= docs_per_lang).select("lang", "h")
+    drawn = usable.join(F.broadcast(least), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
+
+    def counted(texts: dict[str, list[bytes]]) -> Iterator[pa.RecordBatch]:
+        for lang, mine in texts.items():
+            for k, (code, count) in enumerate(count_contexts(mine, order)):
+                yield pa.RecordBatch.from_pydict({"lang": [lang] * len(code), "k": pa.array([k] * len(code), pa.int32()), "code": code, "n": count})
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts: dict[str, list[bytes]] = {}
+        size = 0
         for batch in batches:
             for t, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
                 texts.setdefault(lang, []).append(t.encode("utf-8", "surrogatepass"))
-        for lang, mine in texts.items():
-            for k, (code, count) in enumerate(count_contexts(mine, order)):
-                yield pa.RecordBatch.from_pydict({"lang": [lang] * len(code), "k": pa.array([k] * len(code), pa.int32()), "code": code, "n": count})
+                size += len(texts[lang][-1])
+                if size >= BLOCK:
+                    yield from counted(texts)
+                    texts, size = {}, 0
+        yield from counted(texts)
 
     parts = drawn.mapInArrow(partial, "lang string, k int, code long, n long")
     summed = parts.groupBy("lang", "k", "code").agg(F.sum("n").alias("n")).toArrow()
+    if not summed.num_rows:
+        return None
     langs, ks = np.array(summed.column("lang").to_pylist(), dtype=object), summed.column("k").to_numpy()
     code, n = summed.column("code").to_numpy(), summed.column("n").to_numpy()
     counts = {}
-    for lang in totals:
+    for lang in sorted(set(langs)):
         mine = langs == lang
         counts[lang] = []
         for k in range(order + 1):
