@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import crc_remainder, pick
 
-#: Contexts that are kept at each order and for each language, the most frequent ones.
+#: Contexts that are kept at each order and for each language, the most frequent ones, unless ``most_contexts`` is given.
 MOST_CONTEXTS = 20_000
 #: Bytes of text that are scored, or counted, at a time.
 BLOCK = 1 << 20
@@ -142,11 +142,15 @@ class ContextTrees:
             out[[i for i, _ in filled], at] += np.add.reduceat(flat[node.astype(np.int64) * 256 + joined], firsts, dtype=np.float64)
 
 
-def train(labelled: DataFrame, order: int = 3, docs_per_lang: int = 1500, seed: int = 5) -> ContextTrees | None:
+def train(labelled: DataFrame, order: int = 3, docs_per_lang: int = 1500, seed: int = 5, most_contexts: int = MOST_CONTEXTS) -> ContextTrees | None:
     """Trees from (text, lang): at most ``docs_per_lang`` different texts of each language, those of least hash.
 
     That number, a parameter, bounds what is learned from; drawn texts count whole, and once, however many copies there
     are. Counts are summed in partitions, then by language. None if no row has both a text and a language.
+
+    Of the contexts of each length a language keeps the ``most_contexts`` most frequent; in place of a rarer one that no
+    language keeps, the next shorter one predicts. So the trees have at most 1 + ``order`` * ``most_contexts`` * L nodes
+    for L languages, each of 1024 * L bytes, and 1024 more below ``order``; while built, counts and probabilities add to that.
     """
     usable = labelled.where("text is not null and lang is not null and text <> ''").select("text", F.col("lang").cast("string").alias("lang"))
     usable = usable.withColumn("h", F.xxhash64(F.lit(seed), "text"))
@@ -185,7 +189,7 @@ def train(labelled: DataFrame, order: int = 3, docs_per_lang: int = 1500, seed:
             here = np.flatnonzero(mine & (ks == k))
             here = here[np.argsort(code[here])]
             counts[lang].append(np.stack([code[here], n[here]]) if len(here) else np.zeros((2, 0), np.int64))
-    return ContextTrees(counts, order)
+    return ContextTrees(counts, order, most_contexts)
 
 
 def identify(docs: DataFrame, trees: ContextTrees | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -218,9 +222,9 @@ def identify(docs: DataFrame, trees: ContextTrees | None, id_col: str = "doc_id"
     return rows.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
 
 
-def identify_held_out(docs: DataFrame, order: int = 3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def identify_held_out(docs: DataFrame, order: int = 3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_contexts: int = MOST_CONTEXTS) -> DataFrame:
     """Learn from the rows whose crc32(id as text) mod 4 is not 2, identify all: doc_id, held_out, lang_pred, score."""
     rows = pick(docs, doc_id=id_col, text=text_col, lang=lang_col)
-    trees = train(rows.where(crc_remainder(F.col("doc_id"), 4) != 2), order)
+    trees = train(rows.where(crc_remainder(F.col("doc_id"), 4) != 2), order, most_contexts=most_contexts)
     found = identify(rows, trees)
     return found.select("doc_id", (crc_remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")

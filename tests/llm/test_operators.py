@@ -526,8 +526,13 @@ def test_language(spark, docs, empty):
 
 def test_language_sample_of_copies(spark, monkeypatch):
     made = []
-    monkeypatch.setattr(langid, "ContextTrees", lambda counts, order: made.append(counts))
+    monkeypatch.setattr(langid, "ContextTrees", lambda counts, *_: made.append(counts))
     rows = [(f"{i:05d} text", "many") for i in range(300)] + [(f"hot {k} text", "many") for k in range(2) for _ in range(4000)]
     rows += [(f"{i % 8:05d} rare", "few") for i in range(8000)]
     langid.train(spark.createDataFrame(rows, "text string, lang string"), docs_per_lang=100)
     assert {lang: int(c[0][1].sum()) for lang, c in made[0].items()} == {"many": 100 * 10, "few": 8 * 10}
+
+
+def test_language_contexts(spark):
+    df = spark.createDataFrame([("abcabd", "aa"), ("abxaby", "bb")], "text string, lang string")
+    assert len(langid.train(df, order=1, most_contexts=1).rows) < len(langid.train(df, order=1).rows) == 256 * (1 + 4)
