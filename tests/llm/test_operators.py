@@ -470,43 +470,43 @@ def test_rules_few_words_left(spark):
 # 10
 
 
-def test_trees():
-    made = {"a": [b"abracadabra", b"banana band"], "b": [b"xyzzy zyx", b"abba"]}
+def distribution(counts, lang, context):
+    """Chances of all bytes after ``context``, straight from the definition."""
+    c = np.zeros(256)
+    for b, n in counts[lang][context].items():
+        c[b] = n
+    n, d = c.sum(), (c > 0).sum()
+    below = distribution(counts, lang, context[1:]) if context else np.full(256, 1 / 256)
+    if not n:
+        return below
+    rest = below * (c == 0)
+    return np.where(c > 0, c / (n + (d if d < 256 else 0)), d / (n + d) * rest / max(rest.sum(), 1e-300))
+
+
+def test_trees(monkeypatch):
+    monkeypatch.setattr(langid, "STEP", 7)  # steps end within texts
+    every = bytes(range(256)) * 3
+    made = {"a": [b"abracadabra", b"banana band", "déjà vu".encode()], "b": [b"xyzzy zyx", b"abba"], "c": [every]}
     order = 3
-    counts = {lang: langid.count_contexts(t, order) for lang, t in made.items()}
-    trees = langid.ContextTrees(counts, order)
-    p = np.exp2(-trees.rows.reshape(-1, 256, 2).astype(np.float64))
-    assert np.allclose(p.sum(axis=1), 1, atol=1e-4)
-
+    trees = langid.ContextTrees({lang: langid.count_contexts(t, order) for lang, t in made.items()}, order)
     seen = {lang: defaultdict(Counter) for lang in made}
     for lang, ts in made.items():
         for t in ts:
             for i in range(len(t)):
                 for k in range(min(i, order) + 1):
                     seen[lang][t[i - k : i]][t[i]] += 1
-
-    def distribution(lang, context):
-        below = np.full(256, 1 / 256) if not context else distribution(lang, context[1:])
-        c = np.zeros(256)
-        for b, n in seen[lang][context].items():
-            c[b] = n
-        n, d = c.sum(), (c > 0).sum()
-        if not n:
-            return distribution(lang, context[1:]) if context else below
-        rest = below * (c == 0)
-        return np.where(c > 0, c / (n + d), d / (n + d) * rest / rest.sum())
-
-    for text in (b"banana", b"zyxab", b"q", b"abra\xff"):
+    for lang in made:
+        assert distribution(seen, lang, b"ab").sum() == pytest.approx(1)
+    asked = [b"banana", b"", b"zyxab", b"q", b"abra\xff\x00\x00\x00", every[:300], b""]
+    got = langid.Coder(trees).code_lengths(asked)
+    small = langid.Coder(trees)
+    small.shift, small.keys, small.known = 62, np.zeros(4, np.int64), np.zeros((3, 4), np.float32)  # all meet in four slots
+    assert np.allclose(small.code_lengths(asked), got)
+    for i, text in enumerate(asked):
         for j, lang in enumerate(trees.langs):
-            bits = 0.0
-            for i in range(len(text)):
-                k = min(i, order)
-                while k and not any(text[i - k : i] in seen[x] for x in made):
-                    k -= 1
-                # A context counts only if all its shorter forms do, which they do here.
-                bits -= math.log2(distribution(lang, text[i - k : i])[text[i]])
-            assert trees.code_lengths([text])[0, j] == pytest.approx(bits, rel=1e-4)
-    assert trees.code_lengths([b"", b"ab", b""])[[0, 2]].tolist() == [[0, 0], [0, 0]]
+            bits = -sum(math.log2(distribution(seen, lang, text[max(0, k - order) : k])[text[k]]) for k in range(len(text)))
+            assert got[i, j] == pytest.approx(bits, rel=1e-4)
+    assert trees.size() == 12 * sum(len(x) + len({y[:-1] for y in x}) for lang in made for k in range(order + 1) for x in [{t[i - k : i + 1] for t in made[lang] for i in range(k, len(t))}])
 
 
 def test_language(spark, docs, empty):
@@ -533,6 +533,9 @@ def test_language_sample_of_copies(spark, monkeypatch):
     assert {lang: int(c[0][1].sum()) for lang, c in made[0].items()} == {"many": 100 * 10, "few": 8 * 10}
 
 
-def test_language_contexts(spark):
+def test_language_bounds(spark):
     df = spark.createDataFrame([("abcabd", "aa"), ("abxaby", "bb")], "text string, lang string")
-    assert len(langid.train(df, order=1, most_contexts=1).rows) < len(langid.train(df, order=1).rows) == 256 * (1 + 4)
+    with pytest.raises(ValueError, match="over 1 languages"):
+        langid.train(df, most_langs=1)
+    with pytest.raises(ValueError, match="order"):
+        langid.train(df, order=7)
