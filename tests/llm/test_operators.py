@@ -197,6 +197,55 @@ def test_isotonic():
     assert np.allclose(got, [max(min(mean(a, b) for b in range(i, 30)) for a in range(i + 1)) for i in range(30)])
 
 
+def test_calibration():
+    best = lambda v, w: [max(min(np.average(v[a : b + 1], weights=w[a : b + 1]) for b in range(i, len(v))) for a in range(i + 1)) for i in range(len(v))]
+    rng = np.random.default_rng(7)
+    counts = rng.integers(1, 9, 40).astype(float)
+    positive = np.floor(counts * np.clip(np.linspace(-0.3, 1.3, 40) + rng.normal(size=40) * 0.2, 0, 1))
+    pooled, rate = np.array(best(positive / counts, counts)), positive.sum() / counts.sum()
+    weight = np.array([counts[np.isclose(pooled, v)].sum() for v in pooled])
+    want = best((pooled * weight + rate) / (weight + 1), counts)
+    assert np.allclose(quality.smoothed(positive, counts), want)
+    # Perfectly ranked: however few rows a bin has, those of label 0 stay low.
+    low, high = np.array([0.0] * 10), np.array([1.0] * 60)
+    got = quality.smoothed(np.concatenate((low, high)), np.ones(70))
+    assert got[:10].max() < 0.1 and got[10:].min() > 0.9
+
+
+@pytest.mark.parametrize("fan", [16, 2])
+def test_quality_fit(spark, monkeypatch, fan):
+    monkeypatch.setattr(quality, "FAN", fan)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, len(quality.NAMES))) * rng.uniform(0.1, 3, len(quality.NAMES))
+    y = (x[:, 0] + 0.3 * rng.normal(size=300) > 0).astype(float)
+    df = spark.createDataFrame([(bytearray(a.tobytes()), float(b)) for a, b in zip(x, y, strict=True)], "stats binary, y double").repartition(7)
+    model = quality.fit(df, width=40, ridge=1e-3, bins=32)
+    z = model.features(x)
+    assert np.allclose(model.mean, x.mean(axis=0)) and np.allclose(model.scale, x.std(axis=0) + 1e-6)
+    # Ridge as least squares with a row more for each weight.
+    weight = 1e-3 * 300 / 41
+    want = np.linalg.lstsq(np.concatenate((z, np.sqrt(weight) * np.eye(41))), np.concatenate((y, np.zeros(41))), rcond=None)[0]
+    assert np.allclose(model.beta, want, atol=1e-6)
+    at = np.clip(((z @ model.beta + 0.5) / 2 * 32).astype(int), 0, 31)
+    bins = np.unique(at)
+    cured = quality.smoothed(np.array([y[at == b].sum() for b in bins]), np.array([(at == b).sum() for b in bins], float))
+    assert np.allclose(model.raw, (bins + 0.5) / 16 - 0.5) and np.allclose(model.cured, cured)
+    assert quality.fit(df.limit(0)) is None
+
+
+def test_statistics():
+    t = "Ab cd cd!\n\nx1 AB\nx1 AB"
+    got = dict(zip(quality.NAMES, quality.statistics(t), strict=True))
+    raw, w, lines = t.encode(), words(t), [x for x in t.split("\n") if x]
+    p = np.array(list(Counter(raw).values())) / len(raw)
+    want = {"upper": sum(c.isupper() for c in t) / len(raw), "digit": 2 / len(raw), "newline": 3 / len(raw), "shout": 1 / len(raw), "beyond": 0}
+    want |= {"entropy": -(p * np.log2(p)).sum() / 8, "log_words": np.log1p(len(w)) / 10, "word_length": np.mean([len(x) for x in w]) / 10}
+    want |= {"longest_word": np.log1p(3) / 10, "short_words": 1, "different_words": len(set(w)) / len(w), "top_word": 2 / len(w), "runs": 0}
+    want |= {"different_lines": 2 / 3, "words_a_line": np.log1p(len(w) / len(lines)) / 10, "top_line": 2 / 3, "ended_words": 1 / len(w)}
+    assert all(got[k] == pytest.approx(v) for k, v in want.items())
+    assert not quality.statistics(None).any() and np.isfinite(quality.statistics(" ")).all() and np.isfinite(quality.statistics("z" * 10_000)).all()
+
+
 def test_fourier_features_near_the_kernel():
     s = quality.Scorer(np.zeros(4), np.ones(4), 4096, 2.0, 1)
     x = np.random.default_rng(2).normal(size=(20, 4))
