@@ -94,14 +94,12 @@ WITH d AS (
 ), rep AS (
   SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + 5)) AS p FROM hit) GROUP BY rid
 ), l AS (
-  SELECT rid, source, text, line, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm FROM (SELECT rid, source, text, unnest(string_split(text, chr(10))) AS line FROM d)
+  SELECT rid, doc_id, source, text, line, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm FROM (SELECT rid, doc_id, source, text, unnest(string_split(text, chr(10))) AS line FROM d)
   WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
 ), dup AS (
   SELECT rid, count(*) - count(DISTINCT line) AS n FROM l GROUP BY rid
-), hosts AS (
-  SELECT source, count(DISTINCT text) AS texts FROM d GROUP BY source
 ), freq AS (
-  SELECT source, norm FROM (SELECT source, norm, count(DISTINCT text) AS n FROM l GROUP BY source, norm) f JOIN hosts h USING (source) WHERE n > 10 AND n > texts * 0.05
+  SELECT source, norm FROM l GROUP BY source, norm HAVING count(DISTINCT {'id': doc_id, 'text': text}) > 10
 ), gone AS (
   SELECT rid, sum(len(string_split(l.norm, ' '))) AS n FROM l JOIN freq ON l.source IS NOT DISTINCT FROM freq.source AND l.norm = freq.norm GROUP BY rid
 ), m AS (
@@ -112,7 +110,7 @@ WITH d AS (
 ), v AS (
   SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m
 )
-SELECT *, NOT base_failed AND n_words - n_frequent_words >= 0.3 * n_words AS kept FROM v
+SELECT *, NOT base_failed AND n_words - n_frequent_words >= 10 AND n_words - n_frequent_words >= 0.3 * n_words AS kept FROM v
 """
 
 

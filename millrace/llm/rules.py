@@ -57,13 +57,15 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFr
     return rows.withColumn("host_key", F.xxhash64("host")).withColumn("text_key", F.xxhash64("text"))
 
 
-def frequent_lines(base: DataFrame, min_docs: int) -> DataFrame:
-    """(line_key): lines that more than ``min_docs`` of a host's different texts have, however large the host is.
+def frequent_lines(base: DataFrame, min_docs: int, by_text: bool = False) -> DataFrame:
+    """(line_key): lines that more than ``min_docs`` different documents of a host have, however large the host is.
 
-    ``base`` has host_key, text_key and line_keys. A text counts once for a host, however many copies of it there are.
+    ``base`` has doc_id, host_key, text_key and line_keys. Rows alike in id and text are one document. ``by_text`` counts
+    different texts in their place, so that copies of a text count once for a host.
     """
-    texts = base.select("host_key", "text_key", F.array_distinct("line_keys").alias("keys")).dropDuplicates(["host_key", "text_key"])
-    counts = texts.select("host_key", F.explode("keys").alias("line_key")).groupBy("host_key", "line_key").agg(F.count(F.lit(1)).alias("n"))
+    one = ["host_key", "text_key"] if by_text else ["host_key", "doc_id", "text_key"]
+    docs = base.select(*one, F.array_distinct("line_keys").alias("keys")).dropDuplicates(one)
+    counts = docs.select("host_key", F.explode("keys").alias("line_key")).groupBy("host_key", "line_key").agg(F.count(F.lit(1)).alias("n"))
     return counts.where(F.col("n") > min_docs).select("line_key")
 
 
@@ -73,6 +75,7 @@ def quality_rules(
     most_repeated: int = 20,
     min_docs: int = 10,
     least_left: float = 0.3,
+    by_text: bool = False,
     id_col: str = "doc_id",
     text_col: str = "text",
     host_col: str = "source",
@@ -80,7 +83,8 @@ def quality_rules(
     """Every row with its counts and a verdict.
 
     base_failed: fewer than ``min_words`` words, or over ``most_repeated`` % of them in 5-word windows found twice.
-    A normalised line is frequent if over ``min_docs`` of the different texts of its host have it.
+    A normalised line is frequent if over ``min_docs`` different documents of its host have it: so are all lines of a text
+    with more copies than that, and its copies are depleted, unless ``by_text`` makes copies count once for a host.
     Frequent lines go; a document is depleted if fewer than ``min_words`` words or less than ``least_left`` of its
     words are left. kept: neither. A null text has no words, so it fails; a null host is a host of its own; rows alike
     get the same verdict; an empty table gives an empty result.
@@ -88,7 +92,7 @@ def quality_rules(
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_frequent_words (words in frequent
     lines), base_failed, kept. Texts are read once and never moved: only hashes of lines are counted.
     """
-    scored, removed = _scored(docs, min_docs, id_col, text_col, host_col)
+    scored, removed = _scored(docs, min_docs, by_text, id_col, text_col, host_col)
     scored = scored.join(removed, ["host_key", "text_key"], "left").withColumn("n_frequent_words", F.coalesce("gone", F.lit(0)).cast("long"))
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * most_repeated)
     left = F.col("n_words") - F.col("n_frequent_words")
@@ -97,7 +101,7 @@ def quality_rules(
     return scored.select("doc_id", *metrics, failed.alias("base_failed"), (~failed & enough).alias("kept"))
 
 
-def _scored(docs: DataFrame, min_docs: int, id_col: str, text_col: str, host_col: str) -> tuple[DataFrame, DataFrame]:
+def _scored(docs: DataFrame, min_docs: int, by_text: bool, id_col: str, text_col: str, host_col: str) -> tuple[DataFrame, DataFrame]:
     """Base counts of every row, and (host_key, text_key, gone, keys): words in frequent lines, and those lines."""
     rows = base_rules(_keyed(docs, id_col, text_col, host_col))
     rows = rows.withColumn("clean", F.transform("lines", normalised))
@@ -108,7 +112,7 @@ def _scored(docs: DataFrame, min_docs: int, id_col: str, text_col: str, host_col
             F.transform("clean", lambda x: F.size(F.split(x, " "))).alias("line_words"),
         )
     )
-    frequent = checkpoint(frequent_lines(base, min_docs))
+    frequent = checkpoint(frequent_lines(base, min_docs, by_text))
     if frequent.count() <= MOST_BROADCAST:
         frequent = F.broadcast(frequent)
     each = base.select("host_key", "text_key", F.posexplode("line_keys").alias("i", "line_key"), "line_words").select(
@@ -119,9 +123,9 @@ def _scored(docs: DataFrame, min_docs: int, id_col: str, text_col: str, host_col
     return base.drop("line_keys", "line_words"), removed
 
 
-def remove_frequent_lines(docs: DataFrame, min_docs: int = 10, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+def remove_frequent_lines(docs: DataFrame, min_docs: int = 10, by_text: bool = False, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """``docs`` with its texts rid of frequent lines (see :func:`quality_rules`); all rows and columns stay."""
-    _, removed = _scored(docs, min_docs, id_col, text_col, host_col)
+    _, removed = _scored(docs, min_docs, by_text, id_col, text_col, host_col)
     names = docs.columns
     flat = docs.toDF(*[f"_c{i}" for i in range(len(names))])
     text, host = f"_c{names.index(text_col)}", f"_c{names.index(host_col)}"

@@ -62,6 +62,13 @@ def duck(spark, docs, sql, **more):
     return [d[0] for d in found.description], found.fetchall()
 
 
+def duck_of(df, sql):
+    con = duckdb.connect()
+    con.register("documents", df.toArrow())
+    found = con.execute(sql)
+    return [d[0] for d in found.description], found.fetchall()
+
+
 def same(df, found, digits=9):
     columns, rows = found
     assert sorted(columns) == sorted(df.columns)
@@ -501,17 +508,32 @@ def test_rules(spark, docs, empty):
     assert rules.quality_rules(empty).count() == 0
 
 
+def test_rules_copies(spark):
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(20))
+    rows = [(i, own(0), "host") for i in range(11)] + [(20 + i, own(1), "host") for i in range(10)] + [(40 + i, own(2), f"host{i % 2}") for i in range(20)]
+    rows += [(60, own(3), "host")] * 30 + [(None, own(4), "host")] * 30 + [(i, own(5), None) for i in range(70, 90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = rules.quality_rules(df)
+    assert {r.doc_id for r in found.collect() if not r.kept} == {*range(11), *range(70, 90)}
+    same(found, duck_of(df, queries.OP9_SQL))
+    assert rules.quality_rules(df, by_text=True).where("not kept").count() == 0
+
+
 def test_rules_hot_host(spark):
     line = "A line that sixty texts of the host have."
     rows = [(i, f"{line if i < 60 else f'line {i}'}\n" + " ".join(f"w{i}x{k}" for k in range(20)), "hot") for i in range(2000)]
-    by = {r.doc_id: r for r in rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    by = {r.doc_id: r for r in rules.quality_rules(df).collect()}
     assert {i for i, r in by.items() if r.n_frequent_words} == set(range(60)) and by[0].n_frequent_words == 9
+    same(rules.quality_rules(df), duck_of(df, queries.OP9_SQL))
 
 
 def test_rules_few_words_left(spark):
     line = "Eight words that many texts of it have."
     rows = [(i, f"{line}\n" + " ".join(f"w{i}x{k}" for k in range(4 + i)), "host") for i in range(12)]
-    by = {r.doc_id: r for r in rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    by = {r.doc_id: r for r in rules.quality_rules(df).collect()}
+    same(rules.quality_rules(df), duck_of(df, queries.OP9_SQL))
     assert all(r.n_frequent_words == 8 and not r.base_failed for r in by.values())
     assert {i for i, r in by.items() if r.kept} == set(range(6, 12))
 
