@@ -55,7 +55,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return found.select("doc_id", "held_out", "score", "predicted", F.size("spans").alias("n_spans"))
+    return found.select("doc_id", "held_out", "score", "predicted", F.size("spans").alias("n_spans"), F.to_json("spans").alias("spans"))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

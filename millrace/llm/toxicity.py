@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -13,15 +14,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_remainder, keep_where, pick
+from .common import checkpoint, crc_remainder, keep_where, pick
 
 #: Words that a worker remembers, and the longest of them, in bytes.
 MOST_WORDS, LONGEST = 200_000, 60
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 #: Marginals from here on count for a document's score.
 FLOOR = 0.2
-#: Tokens of context around what is trained on.
-MARGIN = 8
+#: What the largest marginal counts for in a text without any from there on.
+FAINT = 0.05
+#: Evidence beyond this makes no difference to a score.
+MOST_EVIDENCE = 10.0
+#: Tokens of context around what is trained on, and the longest stretch of it that is one sequence.
+MARGIN, RUN = 8, 64
 
 
 def features(word: str) -> list[str]:
@@ -43,33 +48,73 @@ def copies(texts: list[str]) -> list[np.ndarray]:
     return [np.unique(row, return_inverse=True)[1] for row in least]
 
 
-def token_labels(texts: list[str], toxic: list[bool], purity: float = 0.98, chance: float = 1e-8) -> set[str]:
-    """Features that mark toxic tokens, learned from the labels of whole documents.
-
-    A feature does if at least ``purity`` of all documents that have it are toxic, and if that many toxic ones would
-    come about by chance with a probability below ``chance``. Documents that share their least shingle hash count once,
-    so words that copies of a toxic document share don't pass for marks.
+class Corpus:
+    """A bounded sample of labelled texts: their words as numbers, and the features of each different word."""
+
+    def __init__(self, texts: list[str], toxic: list[bool]) -> None:
+        number: defaultdict[str, int] = defaultdict(count().__next__)
+        self.texts = [np.array([number[w] for w in WORDS.findall(t)], np.int64) for t in texts]
+        self.toxic, self.n_words = np.array(toxic, bool), len(number)
+        index: defaultdict[str, int] = defaultdict(count().__next__)
+        rows = [[index[f] for f in features(w)] for w in number]
+        #: Features of word i: cols from starts[i], width[i] of them; the first is the word itself, the last its end.
+        self.cols = np.array([j for r in rows for j in r], np.int64)
+        self.width = np.array([len(r) for r in rows], np.int64)
+        self.starts = np.cumsum(self.width) - self.width
+        self.owner = np.repeat(np.arange(self.n_words), self.width)
+        self.names = list(index)
+        numbers = copies(texts)
+        self.single, self.half = np.ones(len(texts), bool), np.zeros(len(texts), np.int64)
+        for group in numbers:
+            self.single &= np.isin(np.arange(len(texts)), np.unique(group, return_index=True)[1])
+            self.half = group % 2
+
+    def features_of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in ``words``, feature) for all features of each."""
+        size = self.width[words]
+        place = np.repeat(np.arange(len(words)), size)
+        return place, self.cols[self.starts[words][place] + np.arange(len(place)) - (np.cumsum(size) - size)[place]]
+
+    def documents(self, chosen: np.ndarray, without: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Toxic and clean texts among ``chosen`` that have each feature (ends of words not counted), copies once."""
+        out = []
+        for y in (True, False):
+            mine = [i for i in chosen if self.single[i] and self.toxic[i] == y]
+            total = np.zeros(len(self.names), np.int64)
+            for i in mine:
+                words = np.unique(self.texts[i])
+                place, f = self.features_of(words[~without[words]])
+                last = np.append(np.diff(place) > 0, True) if len(place) else np.zeros(0, bool)
+                total[np.unique(f[~last])] += 1
+            out.append(total)
+        return out[0], out[1]
+
+
+def token_labels(corpus: Corpus, chosen: np.ndarray, prior: float = 1.0, purity: float = 0.6, doubt: float = 0.05, harmless: float = 0.3) -> tuple[np.ndarray, np.ndarray]:
+    """(features that mark toxic tokens, words that are harmless in spite of them), learned from the labels of texts.
+
+    A word is harmless if clean texts are a share of ``harmless`` of those that have it, and two at least. A word or
+    beginning marks if, harmless words left out, at least ``purity`` of all texts that have it are toxic, three at least,
+    and so many that chance gives as much to any candidate with a probability below ``doubt`` (a Chernoff bound). A clean
+    text counts ``prior`` times, to make up for its rate of sampling. Texts that share a least shingle hash count once,
+    so words that copies of a toxic text share don't pass for marks.
     """
-    mark = np.array(toxic, bool)
-    base = min(max(mark.mean(), 1e-3), 0.999) if len(mark) else 0.5
-    support = max(4, int(np.ceil(np.log(chance) / np.log(base))))
-
-    def of(text: str) -> set[str]:
-        return {f for w in set(WORDS.findall(text)) for f in features(w) if f[0] in "=^"}
-
-    # Hashes first, so that only features of enough toxic documents are kept as text.
-    hashes = [np.fromiter(map(hash, of(t)), np.int64) for t, y in zip(texts, toxic, strict=True) if y]
-    if not hashes:
-        return set()
-    found, n = np.unique(np.concatenate(hashes), return_counts=True)
-    often, where = set(found[n >= support].tolist()), defaultdict(lambda: array("i"))
-    del hashes, found
-    for i, t in enumerate(texts):
-        for f in of(t):
-            if hash(f) in often:
-                where[f].append(i)
-    groups = copies(texts)
-    return {f for f, v in where.items() if mark[v].mean() >= purity and min(len(np.unique(g[v])) for g in groups) >= support}
+    nothing = np.zeros(corpus.n_words, bool)
+    bad, good = corpus.documents(chosen, nothing)
+    itself = corpus.cols[corpus.starts]
+    safe = (good[itself] >= 2) & (prior * good[itself] >= harmless * (bad[itself] + prior * good[itself]))
+    n_bad = int((corpus.toxic & corpus.single)[chosen].sum())
+    n_good = prior * int((~corpus.toxic & corpus.single)[chosen].sum())
+    if not n_bad:
+        return np.zeros(len(corpus.names), bool), safe
+    base = min(n_bad / (n_bad + n_good), 0.999)
+    bad, good = corpus.documents(chosen, safe)
+    total = np.maximum(bad + prior * good, 1)
+    share = bad / total
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gap = share * np.log(share / base) + np.where(share < 1, (1 - share) * np.log((1 - share) / (1 - base)), 0)
+    candidates = bad >= 3
+    return candidates & (share >= purity) & (share > base) & (total * gap >= np.log(max(int(candidates.sum()), 1) / doubt)), safe
 
 
 class Field:
@@ -77,6 +122,8 @@ class Field:
 
     def __init__(self, weights: dict[str, float], bias: float, steps: np.ndarray, start: np.ndarray) -> None:
         self.weights, self.bias, self.steps, self.start = weights, bias, steps, start
+        #: Slope and offset of the score by evidence.
+        self.calibration = (1.0, -1.0)
 
     def emission(self, word: str) -> float:
         return self.bias + sum(self.weights.get(f, 0.0) for f in features(word))
@@ -112,123 +159,191 @@ class Field:
             p = to1 / (to1 + to0)
         return forward, backward
 
-    def marginals(self, emissions: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    def marginals(self, emissions: np.ndarray, lengths: np.ndarray, passed: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
         """Probability of state 1 at every token."""
-        forward, backward = self.passes(emissions, lengths)
+        forward, backward = passed or self.passes(emissions, lengths)
         joint1, joint0 = forward * backward, (1 - forward) * (1 - backward)
         return joint1 / (joint1 + joint0)
 
-    def pairs(self, emissions: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Expected number of each pair of neighbouring states."""
-        forward, backward = self.passes(emissions, lengths)
+    def pairs(self, emissions: np.ndarray, lengths: np.ndarray, weights: np.ndarray, passed: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """Expected number of each pair of neighbouring states; a pair weighs what its second token weighs."""
+        forward, backward = passed or self.passes(emissions, lengths)
         inner = np.ones(len(emissions), bool)
         inner[(np.cumsum(lengths) - lengths)[lengths > 0]] = False
         at = np.flatnonzero(inner)
         odds, t = np.exp(np.clip(emissions[at], -40, 40)), np.exp(self.steps)
-        left = np.stack((1 - forward[at - 1], forward[at - 1]))
-        right = np.stack((1 - backward[at], backward[at] * odds))
-        joint = left[:, None, :] * t[:, :, None] * right[None, :, :]
-        return (joint / joint.sum(axis=(0, 1))).sum(axis=2)
-
-
-def fit(texts: list[str], toxic: list[bool], epochs: int = 60, rate: float = 0.3, l2: float = 1e-3, plain: int = 20_000, seed: int = 11) -> Field:
-    """Tokens are labelled by :func:`token_labels`; the field is trained on windows around toxic ones, around clean ones
-    that share a beginning with them, and on ``plain`` windows drawn from the clean documents. AdaGrad on the
-    conditional likelihood."""
-    marks = token_labels(texts, toxic)
-    rng = np.random.default_rng(seed)
-    alike = {f[:4] for f in marks} | {f"={f[1:4]}" for f in marks}
-    code: dict[str, int] = {}  # 2: a mark; 1: begins as one does; 0: neither
-
-    def kind(word: str) -> int:
-        c = code.get(word)
-        if c is None:
-            fs = features(word)
-            c = code[word] = 2 if any(f in marks for f in fs) else int(any(f[:4] in alike for f in fs if f[0] == "^" and len(f) == 4))
-        return c
-
-    windows: list[tuple[list[str], list[int]]] = []
-    budget = plain
-    for i in rng.permutation(len(texts)):
-        words = WORDS.findall(texts[i])
-        kinds = [kind(w) for w in words]
-        tags = [int(toxic[i] and k == 2) for k in kinds]
-        centres = [k for k, y in enumerate(tags) if y]
-        if not toxic[i]:
-            centres = [k for k, c in enumerate(kinds) if c][:4]
-            if budget > 0 and words:
-                more = rng.integers(0, len(words), min(4, budget))
-                budget -= len(more)
-                centres += more.tolist()
-        for k in centres:
-            a, b = max(0, k - MARGIN), k + MARGIN + 1
-            windows.append((words[a:b], tags[a:b]))
-    if not windows:
-        return Field({}, -4.0, np.zeros((2, 2)), np.zeros(2))
-    del code
-    times = Counter(w for ws, _ in windows for w in ws)
-    count: Counter = Counter()
-    for w, n in times.items():
-        for f in features(w):
-            count[f] += n
-    index = {f: j for j, f in enumerate(f for f, n in count.items() if n >= 2)}
-    del count
-    number = {w: i for i, w in enumerate(times)}
-    rows = [np.array([index[f] for f in features(w) if f in index], np.int32) for w in number]
-    width = np.array([len(r) for r in rows])
-    starts, every = np.cumsum(width) - width, np.concatenate(rows)
-    word_of = np.array([number[w] for ws, _ in windows for w in ws], np.int32)
-    sizes = width[word_of]
-    owner = np.repeat(np.arange(len(word_of), dtype=np.int32), sizes)
-    cols = every[np.repeat(starts[word_of] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))]
-    lengths = np.array([len(ws) for ws, _ in windows])
-    y = np.array([t for _, ts in windows for t in ts])
-    field = Field({}, -2.0, np.zeros((2, 2)), np.zeros(2))
-    w, g_w = np.zeros(len(index)), np.full(len(index), 1e-2)
-    g_b, g_s, g_t = 1e-2, np.full(2, 1e-2), np.full((2, 2), 1e-2)
-    firsts = np.cumsum(lengths) - lengths
-    inner = np.ones(len(y), bool)
-    inner[firsts] = False
-    second = np.flatnonzero(inner)
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (y[second - 1], y[second]), 1)
-    n = len(windows)
+        left = (1 - forward[at - 1], forward[at - 1])
+        right = (1 - backward[at], backward[at] * odds)
+        joint = [left[i] * right[j] * t[i, j] for i in (0, 1) for j in (0, 1)]
+        share = weights[at] / (joint[0] + joint[1] + joint[2] + joint[3])
+        return np.array([share @ x for x in joint]).reshape(2, 2)
+
+
+def segments(centres: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """Runs of the places 0..n-1 that lie within ``MARGIN`` of one of ``centres``, in parts of ``RUN`` at most."""
+    change = np.zeros(n + 1, np.int64)
+    np.add.at(change, np.maximum(centres - MARGIN, 0), 1)
+    np.add.at(change, np.minimum(centres + MARGIN + 1, n), -1)
+    inside = np.concatenate(([0], np.cumsum(change[:-1]) > 0, [0]))
+    ends = np.flatnonzero(np.diff(inside)).reshape(-1, 2).tolist()
+    return [(k, min(k + RUN, b)) for a, b in ends for k in range(a, b, RUN)]
+
+
+class Sequences:
+    """Training material: words and tags of sequences that lie one after the other, their lengths and weights."""
+
+    def __init__(self, corpus: Corpus, made: list[tuple[np.ndarray, np.ndarray, float]]) -> None:
+        self.words, self.tags = (np.concatenate([m[k] for m in made]).astype(np.int64) for k in (0, 1))
+        self.lengths = np.array([len(m[0]) for m in made], np.int64)
+        self.firsts = np.cumsum(self.lengths) - self.lengths
+        self.each = np.repeat([m[2] for m in made], self.lengths)
+        self.met, self.words = np.unique(self.words, return_inverse=True)
+        self.owner, self.cols = corpus.features_of(self.met)
+        often = np.bincount(self.cols, np.bincount(self.words, minlength=len(self.met))[self.owner], len(corpus.names)) >= 2
+        self.owner, self.cols = self.owner[often[self.cols]], self.cols[often[self.cols]]
+        inner = np.ones(len(self.tags), bool)
+        inner[self.firsts] = False
+        second = np.flatnonzero(inner)
+        self.seen = np.zeros((2, 2))
+        np.add.at(self.seen, (self.tags[second - 1], self.tags[second]), self.each[second])
+
+    def gradient(self, field: Field, w: np.ndarray, l2: float) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
+        """Of the weighted negative log-likelihood and the penalty: by feature weights, bias, steps and start."""
+        e = field.bias + np.bincount(self.owner, w[self.cols], len(self.met))[self.words]
+        passed = field.passes(e, self.lengths)
+        delta = (field.marginals(e, self.lengths, passed) - self.tags) * self.each
+        by_word = np.bincount(self.words, delta, len(self.met))
+        lead = delta[self.firsts].sum()
+        return (
+            np.bincount(self.cols, by_word[self.owner], len(w)) + l2 * w,
+            delta.sum(),
+            field.pairs(e, self.lengths, self.each, passed) - self.seen + l2 * field.steps,
+            np.array([-lead, lead]) + l2 * field.start,
+        )
+
+
+def learn(corpus: Corpus, chosen: np.ndarray, prior: float, epochs: int, rate: float, l2: float, plain: int, seed: int) -> tuple[Field, np.ndarray] | None:
+    """A field from the texts ``chosen``, and its weights by feature; None where no token can be labelled as toxic."""
+    marks, safe = token_labels(corpus, chosen, prior)
+    names = corpus.names
+    alike = {names[f][1:4] for f in np.flatnonzero(marks)}
+    marked = np.bincount(corpus.owner, marks[corpus.cols], corpus.n_words) > 0
+    looks = np.array([n[0] in "=^" and n[1:4] in alike for n in names])
+    like = np.bincount(corpus.owner, looks[corpus.cols], corpus.n_words) > 0
+    sizes = np.array([0 if corpus.toxic[i] else len(corpus.texts[i]) for i in chosen], np.int64)
+    ends = np.cumsum(sizes)
+    total = int(sizes.sum())
+    drawn = np.sort(np.random.default_rng(seed).integers(0, max(total, 1), min(plain, total)))
+    made = []
+    for i, size, end in zip(chosen, sizes, ends, strict=True):
+        words = corpus.texts[i]
+        if corpus.toxic[i]:
+            tags = marked[words] & ~safe[words]
+            centres = np.flatnonzero(tags)
+        else:
+            tags = np.zeros(len(words), bool)
+            centres = np.concatenate((np.flatnonzero(like[words]), drawn[np.searchsorted(drawn, end - size) : np.searchsorted(drawn, end)] - (end - size)))
+        made += [(words[a:b], tags[a:b], 1.0 if corpus.toxic[i] else prior) for a, b in segments(centres, len(words))]
+    if not any(m[1].any() for m in made):
+        return None
+    data, field, w = Sequences(corpus, made), Field({}, -2.0, np.zeros((2, 2)), np.zeros(2)), np.zeros(len(names))
+    past = [np.ones(x.shape) for x in (w, np.zeros(()), field.steps, field.start)]
     for _ in range(epochs):
-        e = field.bias + np.bincount(owner, w[cols], len(y))
-        p = field.marginals(e, lengths)
-        delta = p - y
-        grad_w = np.bincount(cols, delta[owner], len(w)) / n + l2 * w
-        grad_b = delta.sum() / n
-        grad_t = (field.pairs(e, lengths) - seen) / n + l2 * field.steps
-        lead = (p[firsts] - y[firsts]).sum() / n
-        grad_s = np.array([-lead, lead]) + l2 * field.start
-        g_w += grad_w**2
-        g_b += grad_b**2
-        g_t += grad_t**2
-        g_s += grad_s**2
-        w -= rate * grad_w / np.sqrt(g_w)
-        field.bias -= rate * grad_b / np.sqrt(g_b)
-        field.steps = field.steps - rate * grad_t / np.sqrt(g_t)
-        field.start = field.start - rate * grad_s / np.sqrt(g_s)
-    field.weights = {f: float(w[j]) for f, j in index.items() if abs(w[j]) > 1e-3}
+        moves = []
+        for g, p in zip(data.gradient(field, w, l2), past, strict=True):
+            p += np.square(g)
+            moves.append(rate * g / np.sqrt(p))
+        w -= moves[0]
+        field.bias -= float(moves[1])
+        field.steps, field.start = field.steps - moves[2], field.start - moves[3]
+    field.weights = {names[f]: float(w[f]) for f in np.flatnonzero(np.abs(w) > 1e-3)}
+    return field, w
+
+
+def evidence(p: np.ndarray, lengths: np.ndarray, floor: float) -> np.ndarray:
+    """Of each text, the sum of -log(1 - p) over the marginals p of its tokens that are ``floor`` or more."""
+    out, high = np.zeros(len(lengths)), np.flatnonzero(p >= floor)
+    np.add.at(out, np.searchsorted(np.cumsum(lengths), high, side="right"), -np.log1p(-np.minimum(p[high], 1 - 1e-12)))
+    return out
+
+
+def logistic(x: np.ndarray, y: np.ndarray, weights: np.ndarray, l2: float = 0.01, steps: int = 50) -> tuple[float, float]:
+    """(slope, offset) of the chance of 1 by ``x``; the slope is penalised, and not below 0."""
+    z, beta = np.stack((x, np.ones(len(x))), axis=1), np.zeros(2)
+    penalty = np.diag([l2, 1e-6])
+
+    def loss(b: np.ndarray) -> float:
+        return float((weights * np.logaddexp(0, np.where(y, -1, 1) * (z @ b))).sum() + 0.5 * b @ penalty @ b)
+
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(z @ beta, -40, 40)))
+        move = np.linalg.solve((z * (weights * p * (1 - p))[:, None]).T @ z + penalty, z.T @ (weights * (p - y)) + penalty @ beta)
+        while loss(beta - move) > loss(beta) and np.abs(move).max() > 1e-9:
+            move /= 2
+        beta = beta - move
+    return max(float(beta[0]), 0.0), float(beta[1])
+
+
+def fit(texts: list[str], toxic: list[bool], prior: float = 1.0, epochs: int = 60, rate: float = 0.3, l2: float = 1.0, plain: int = 20_000, seed: int = 11) -> Field:
+    """A field, and how a text's evidence becomes a score.
+
+    Tokens are labelled by :func:`token_labels`; the field is trained on stretches around all toxic ones, around all
+    tokens of clean texts that begin as toxic ones do, wherever they are in the text, and around ``plain`` places more,
+    drawn from the whole of the clean texts. Stretches of clean texts weigh ``prior``. AdaGrad on the conditional
+    likelihood. The score's calibration needs evidence that a text itself hasn't shaped: that of each half of the texts
+    (near copies in the same half) under a field from the other half, with half the epochs. Texts without evidence have no part in it; one
+    toxic and one clean case are added, which keep it in bounds where either kind is missing.
+    """
+    corpus = Corpus(texts, toxic)
+    every = np.arange(len(texts))
+    learned = learn(corpus, every, prior, epochs, rate, l2, plain, seed)
+    if learned is None:
+        return Field({}, -4.0, np.zeros((2, 2)), np.zeros(2))
+    x, y = [FLOOR, 5.0], [False, True]
+    for half in (0, 1):
+        rest, mine = every[corpus.half != half], every[corpus.half == half]
+        part = learn(corpus, rest, prior, epochs // 2, rate, l2, plain // 2, seed)
+        if part is not None and len(mine):
+            field, w = part
+            by_word = field.bias + np.bincount(corpus.owner, w[corpus.cols], corpus.n_words)
+            lengths = np.array([len(corpus.texts[i]) for i in mine])
+            p = field.marginals(by_word[np.concatenate([corpus.texts[i] for i in mine])], lengths)
+            found = evidence(p, lengths, FLOOR)
+            x += np.minimum(found[found > 0], MOST_EVIDENCE).tolist()
+            y += corpus.toxic[mine][found > 0].tolist()
+    field = learned[0]
+    field.calibration = logistic(np.array(x), np.array(y), np.where(y, 1.0, prior))
     return field
 
 
-def training_texts(docs: DataFrame, labels: DataFrame, most_toxic: int, most_clean: int, hold_out: tuple[int, int], id_col: str, text_col: str, label_col: str) -> tuple[list[str], list[bool]]:
-    """Different texts and labels of at most so many labelled ids that aren't held out, those of least hash.
+def training_texts(docs: DataFrame, labels: DataFrame, most_toxic: int, most_clean: int, most_bytes: int, hold_out: tuple[int, int], id_col: str, text_col: str, label_col: str) -> tuple[list[str], list[bool], float]:
+    """(texts, labels, prior): different texts of labelled ids that aren't held out, at most so many of each label.
 
-    The ids are few enough to broadcast; an id counts once, however often it occurs. A text with both labels is toxic.
+    Those of least hash, copies once, and of each label no more than half of ``most_bytes`` hold (one at least). Only
+    hashes and sizes are ordered; the drawn hashes are few enough to broadcast. A text with both labels is toxic. prior
+    is how many times as thinly clean texts are drawn as toxic ones.
     """
+    spark = docs.sparkSession
     known = pick(labels, label_id="doc_id", y=label_col).where("y in (0, 1) and label_id is not null")
     known = known.where(crc_remainder(F.col("label_id"), hold_out[0]) != hold_out[1]).groupBy("label_id").agg(F.max("y").alias("y"))
-    drawn = [known.where(F.col("y") == y).orderBy(F.xxhash64(F.lit(7), "label_id"), "label_id").limit(most) for y, most in ((1, most_toxic), (0, most_clean))]
-    rows = pick(docs, doc_id=id_col, text=text_col).where("text is not null")
-    found = rows.join(F.broadcast(drawn[0].union(drawn[1])), F.col("doc_id") == F.col("label_id"))
-    once = found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y")).toArrow()
-    by_text: dict[str, bool] = {}
-    for t, y in sorted(zip(once.column("text").to_pylist(), once.column("y").to_pylist(), strict=True)):
-        by_text[t] = by_text.get(t, False) or bool(y)
-    return list(by_text), list(by_text.values())
+    rows = pick(docs, doc_id=id_col, text=text_col).where("text is not null").withColumn("h", F.xxhash64(F.lit(7), "text"))
+    found = rows.select("doc_id", "h", F.octet_length("text").alias("n")).join(known, F.col("doc_id") == F.col("label_id"))
+    found = checkpoint(found.groupBy("h").agg(F.max("n").alias("n"), F.max("y").alias("y")))
+    totals = {r.y: r["count"] for r in found.groupBy("y").count().collect()}
+    drawn: dict[int, int] = {}
+    rates = {}
+    for y, most in ((1, most_toxic), (0, most_clean)):
+        least = found.where(F.col("y") == y).orderBy("h").limit(most).select("h", "n").collect()
+        fits = np.cumsum([r.n for r in least]) <= most_bytes // 2
+        mine = [r.h for i, r in enumerate(least) if i == 0 or fits[i]]
+        drawn |= dict.fromkeys(mine, y)
+        rates[y] = len(mine) / max(totals.get(y, 0), 1)
+    if not drawn:
+        return [], [], 1.0
+    wanted = spark.createDataFrame(list(drawn.items()), "h long, y int")
+    texts = rows.select("h", "text").join(F.broadcast(wanted), "h").groupBy("h").agg(F.min("text").alias("text"), F.max("y").alias("y")).orderBy("h").toArrow()
+    prior = rates[1] / rates[0] if rates[0] and rates[1] else 1.0
+    return texts.column("text").to_pylist(), [bool(y) for y in texts.column("y").to_pylist()], prior
 
 
 class Tagger:
@@ -251,22 +366,22 @@ class Tagger:
                         known[w] = e
                 values.append(e)
         p = self.field.marginals(np.frombuffer(values), lengths) if values else np.zeros(0)
-        ends = np.cumsum(lengths)
-        firsts, filled, scores = ends - lengths, lengths > 0, np.zeros(len(texts))
+        firsts, filled, scores = np.cumsum(lengths) - lengths, lengths > 0, np.zeros(len(texts))
         if len(p):
-            scores[filled] = np.maximum.reduceat(p, firsts[filled])
-        high = np.flatnonzero(p >= self.floor)
-        clean = np.ones(len(texts))
-        np.multiply.at(clean, np.searchsorted(ends, high, side="right"), 1 - p[high])
-        return np.maximum(scores, 1 - clean), p, firsts
+            scores[filled] = FAINT * np.maximum.reduceat(p, firsts[filled])
+        found = evidence(p, lengths, self.floor)
+        slope, offset = self.field.calibration
+        scores[found > 0] = 1 / (1 + np.exp(-(slope * np.minimum(found[found > 0], MOST_EVIDENCE) + offset)))
+        return scores, p, firsts
 
 
 def tag_documents(docs: DataFrame, field: Field, floor: float = FLOOR, mark: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score, spans) for every row: whole texts, every token.
 
-    score is the chance that at least one of the tokens with a marginal of ``floor`` or more is toxic, as if they were
-    independent; without any it is the largest marginal, and 0 for a text that is null or without words. spans are
-    the tokens with a marginal of ``mark`` or more: start and end in characters, and the marginal.
+    The evidence of a text is the sum of -log(1 - p) over its tokens' marginals p of ``floor`` or more, which is -log of
+    the chance that none is toxic, as if they were independent; score is its calibrated chance. Without such tokens it is
+    a small part of the largest marginal, and 0 for a text that is null or without words. spans are the tokens with a
+    marginal of ``mark`` or more: start and end in characters, and the marginal.
     """
     rows = pick(docs, doc_id=id_col, text=text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -290,23 +405,49 @@ def tag_documents(docs: DataFrame, field: Field, floor: float = FLOOR, mark: flo
     return rows.mapInArrow(run, f"doc_id {kind}, score double, spans array<struct<start:int,end:int,marginal:double>>")
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, most_toxic: int = 1500, most_clean: int = 3000, hold_out: tuple[int, int] = (4, 2), cut: float = 0.3, id_col="doc_id", text_col="text", label_col="toxic") -> DataFrame:
+def score_toxicity(
+    docs: DataFrame,
+    labels: DataFrame,
+    most_toxic: int = 1500,
+    most_clean: int = 3000,
+    most_bytes: int = 32 << 20,
+    hold_out: tuple[int, int] = (4, 2),
+    cut: float = 0.3,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "toxic",
+) -> DataFrame:
     """(doc_id, held_out, score, predicted, spans) for every row.
 
-    Learns from at most ``most_toxic`` and ``most_clean`` labelled documents whose crc32(id as text) mod
-    ``hold_out[0]`` is not ``hold_out[1]``. Without toxic labels no text scores high. Rows alike are scored alike; an
-    empty table gives an empty result; other columns are ignored.
+    Learns from labelled rows whose crc32(id as text) mod ``hold_out[0]`` is not ``hold_out[1]``: at most ``most_toxic``
+    and ``most_clean`` different texts, of ``most_bytes`` together (see :func:`training_texts`); the driver holds these,
+    and fits the field. Without toxic labels no text scores high. Null and empty texts score 0. Rows alike are scored
+    alike; an empty table gives an empty result; other columns are ignored.
     """
-    texts, toxic = training_texts(docs, labels, most_toxic, most_clean, hold_out, id_col, text_col, label_col)
-    tagged = tag_documents(docs, fit(texts, toxic), id_col=id_col, text_col=text_col)
+    model = fit(*training_texts(docs, labels, most_toxic, most_clean, most_bytes, hold_out, id_col, text_col, label_col))
+    tagged = tag_documents(docs, model, id_col=id_col, text_col=text_col)
     held_out = crc_remainder(F.col("doc_id"), hold_out[0]) == hold_out[1]
     return tagged.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"), "spans")
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame, most_toxic: int = 1500, most_clean: int = 3000, hold_out: tuple[int, int] = (4, 2), cut: float = 0.3, id_col="doc_id", text_col="text", label_col="toxic") -> DataFrame:
-    """``docs``, all columns, without the rows whose text scores ``cut`` or more; learning as in :func:`score_toxicity`."""
-    texts, toxic = training_texts(docs, labels, most_toxic, most_clean, hold_out, id_col, text_col, label_col)
-    shared = docs.sparkSession.sparkContext.broadcast(fit(texts, toxic))
+def keep_clean(
+    docs: DataFrame,
+    labels: DataFrame,
+    most_toxic: int = 1500,
+    most_clean: int = 3000,
+    most_bytes: int = 32 << 20,
+    hold_out: tuple[int, int] = (4, 2),
+    cut: float = 0.3,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "toxic",
+) -> DataFrame:
+    """``docs``, all columns, without the rows whose text scores ``cut`` or more; learning as in :func:`score_toxicity`.
+
+    Null and empty texts score 0 and stay.
+    """
+    model = fit(*training_texts(docs, labels, most_toxic, most_clean, most_bytes, hold_out, id_col, text_col, label_col))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     taggers: dict[int, Tagger] = {}  # one for each task's copy of this function
 
     def clean(texts: list) -> np.ndarray:

@@ -328,9 +328,9 @@ def test_field_marginals():
     rng = np.random.default_rng(4)
     field = toxicity.Field({}, 0.0, rng.normal(size=(2, 2)), rng.normal(size=2))
     lengths = np.array([4, 0, 1, 6, 3])
-    e = rng.normal(size=int(lengths.sum())) * 2
-    got, pairs, at, joint = field.marginals(e, lengths), field.pairs(e, lengths), 0, np.zeros((2, 2))
-    for n in lengths:
+    e, weights = rng.normal(size=int(lengths.sum())) * 2, rng.uniform(0.5, 2, 5)
+    got, pairs, at, joint = field.marginals(e, lengths), field.pairs(e, lengths, np.repeat(weights, lengths)), 0, np.zeros((2, 2))
+    for n, weight in zip(lengths, weights, strict=True):
         z, up, two = 0.0, np.zeros(n), np.zeros((2, 2))
         for states in itertools.product((0, 1), repeat=int(n)) if n else []:
             p = math.exp(field.start[states[0]] + sum(e[at + i] * s for i, s in enumerate(states)) + sum(field.steps[a, b] for a, b in zip(states, states[1:], strict=False)))
@@ -340,11 +340,107 @@ def test_field_marginals():
                 two[a, b] += p
         if n:
             assert np.allclose(got[at : at + n], up / z)
-            joint += two / z
+            joint += two / z * weight
         at += n
     assert np.allclose(pairs, joint)
 
 
+def test_training_step():
+    """The gradient against differences of the likelihood, worked out over all labellings."""
+    rng = np.random.default_rng(9)
+    corpus = toxicity.Corpus(["aaa bbb aaa ccc", "bbb ccc ddd", "ddd"], [True, False, False])
+    tags = [np.array([1, 0, 1, 0]), np.array([0, 0, 0]), np.array([0])]
+    data = toxicity.Sequences(corpus, [(corpus.texts[i], tags[i], 1.0 + i) for i in range(3)])
+    w, l2 = rng.normal(size=len(corpus.names)), 0.7
+    field = toxicity.Field({}, 0.3, rng.normal(size=(2, 2)), rng.normal(size=2))
+    often = Counter(j for i in range(3) for j in corpus.features_of(corpus.texts[i])[1])
+
+    def loss(w, bias, steps, start):
+        out = 0.5 * l2 * ((w**2).sum() + (steps**2).sum() + (start**2).sum())
+        for i, text in enumerate(corpus.texts):
+            place, f = corpus.features_of(text)
+            e = bias + np.bincount(place, [w[j] if often[j] >= 2 else 0.0 for j in f], len(text))
+            score = lambda y: start[y[0]] + sum(e[k] * y[k] for k in range(len(y))) + sum(steps[a, b] for a, b in zip(y, y[1:], strict=False))  # noqa: B023, E731
+            out += (1.0 + i) * (np.logaddexp.reduce([score(y) for y in itertools.product((0, 1), repeat=len(text))]) - score(tags[i].tolist()))
+        return out
+
+    got = data.gradient(field, w, l2)
+    here = [w, np.array(field.bias), field.steps, field.start]
+    for part, g in enumerate(got):
+        for at in np.ndindex(here[part].shape):
+            ends = []
+            for move in (1e-5, -1e-5):
+                x = [p.copy() for p in here]
+                x[part][at] += move
+                ends.append(loss(*x))
+            assert (ends[0] - ends[1]) / 2e-5 == pytest.approx(np.asarray(g)[at], abs=1e-6)
+
+
+def test_token_labels():
+    rng = random.Random(4)
+    plain_ = ["alpha", "beta", "gamma", "delta", "of", "the"]
+    made = []
+    for i in range(200):
+        t = [rng.choice(plain_) for _ in range(30)]
+        if i % 5 == 0:  # toxic: words of one stem; clean ones have the stem itself, or "vilest"
+            t[3:3] = [f"vile{rng.choice('abcdefgh')}", f"vile{rng.choice('abcdefgh')}"]
+        elif i % 5 == 1:
+            t[3:3] = [rng.choice(["vile", "vilest"])]
+        made.append((" ".join(t), i % 5 == 0))
+    made += [("copied words here only copied words here only", True)] * 30
+    corpus = toxicity.Corpus([t for t, _ in made], [y for _, y in made])
+    every = np.arange(len(made))
+    marks, safe = toxicity.token_labels(corpus, every)
+    found = {corpus.names[f] for f in np.flatnonzero(marks)}
+    harmless = {corpus.names[corpus.cols[corpus.starts[i]]] for i in np.flatnonzero(safe)}
+    assert "^vile" in found and not found & {f"={x}" for x in [*plain_, "vile", "copied", "words"]}
+    assert {"=vile", "=vilest", *(f"={x}" for x in plain_)} <= harmless and "=vilea" not in harmless
+    bad, good = corpus.documents(every, np.zeros(corpus.n_words, bool))
+    for f, name in enumerate(corpus.names):
+        for y, n in ((True, bad[f]), (False, good[f])):
+            texts_ = {t for t, z in made if z == y}
+            if name[0] in "=^":
+                assert n <= sum(any(name in toxicity.features(w) for w in t.split()) for t in texts_) == n + sum(any(name in toxicity.features(w) for w in made[i][0].split()) for i in every if not corpus.single[i] and made[i][1] == y and made[i][0] not in {made[k][0] for k in range(i)})
+    assert toxicity.token_labels(corpus, every[[not y for _, y in made]])[0].sum() == 0
+
+
+def test_segments():
+    for centres, n in (([], 5), ([3], 4), ([0, 20, 200, 210, 299], 300)):
+        near = {k for c in centres for k in range(max(0, c - toxicity.MARGIN), min(n, c + toxicity.MARGIN + 1))}
+        found = toxicity.segments(np.array(centres, int), n)
+        assert sorted(k for a, b in found for k in range(a, b)) == sorted(near) and all(b - a <= toxicity.RUN for a, b in found)
+
+
+def test_logistic():
+    rng = np.random.default_rng(3)
+    x, weights = rng.uniform(0, 8, 300), rng.uniform(0.5, 3, 300)
+    y = rng.uniform(size=300) < 1 / (1 + np.exp(-(1.2 * x - 4)))
+    slope, offset = toxicity.logistic(x, y, weights)
+    p = 1 / (1 + np.exp(-(slope * x + offset)))
+    assert abs((weights * (p - y)).sum()) < 1e-3 and abs((weights * (p - y) * x).sum() + 0.01 * slope) < 1e-3
+    assert toxicity.logistic(x, ~y, weights)[0] == 0
+    slope, offset = toxicity.logistic(np.array([0.2, 5.0]), np.array([False, True]), np.ones(2))
+    assert 0.2 < -offset / slope < 5
+
+
+def test_training_texts(spark):
+    rows = [(i, f"text {i % 50} {'x' * (i % 7)}") for i in range(100)] + [(200 + i, "one copied text") for i in range(50)] + [(300, None)]
+    data = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    args = ((4, 2), "doc_id", "text", "toxic")
+    want = defaultdict(bool)
+    for i, t in rows:
+        if t is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            want[t] |= i % 3 == 0
+    texts_, toxic, prior = toxicity.training_texts(data, labels, 1000, 1000, 1 << 20, *args)
+    assert dict(zip(texts_, toxic, strict=True)) == want and len(texts_) == len(want) and prior == 1
+    texts_, toxic, prior = toxicity.training_texts(data, labels, 10, 5, 1 << 20, *args)
+    assert (sum(toxic), len(toxic)) == (10, 15) and prior == pytest.approx(10 / sum(want.values()) / (5 / sum(not y for y in want.values())))
+    texts_, toxic, _ = toxicity.training_texts(data, labels, 1000, 1000, 200, *args)
+    assert 0 < sum(len(t.encode()) for t, y in zip(texts_, toxic, strict=True) if y) <= 100 and 0 < sum(toxic) < len(toxic)
+    assert toxicity.training_texts(data, labels.limit(0), 10, 5, 1 << 20, *args) == ([], [], 1.0)
+
+
 def test_toxicity(spark, docs, empty):
     rng = random.Random(1)
     base = ["alpha", "beta", "gamma", "delta", "of", "the", "losing", "their"]
