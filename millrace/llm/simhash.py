@@ -73,13 +73,14 @@ class VantageTree:
             if 2 * i + 1 < inner:
                 members[2 * i + 1], members[2 * i + 2] = mine[near], mine[~near]
 
-    def route(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def route(self, fps: np.ndarray, home: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place in ``fps``, leaf, home): each word's own leaf, and the leaves in which it is a guest.
 
         A word within ``reach`` of a home on the other side of a boundary must visit it. Of two words at home on both
-        sides it is enough that the inner one visits.
+        sides it is enough that the inner one visits. ``home`` is false for words that come as guests already: they
+        visit every leaf that can have a partner, and are at home in none.
         """
-        row, node, home = np.arange(len(fps)), np.zeros(len(fps), np.int64), np.ones(len(fps), bool)
+        row, node, home = np.arange(len(fps)), np.zeros(len(fps), np.int64), np.ones(len(fps), bool) if home is None else home
         for _ in range(self.depth):
             far = np.bitwise_count(fps[row] ^ self.point[node]).astype(np.int64)
             near = far <= self.radius[node]
@@ -93,6 +94,28 @@ class VantageTree:
         return row, node - ((1 << self.depth) - 1), home
 
 
+class Router:
+    """A tree, and a second one below each of its leaves that has more than its share of rows.
+
+    Leaf l of the tree keeps its number; leaf k of the tree below it has the number l + (k + 1) * 2 ** depth.
+    """
+
+    def __init__(self, tree: VantageTree) -> None:
+        self.tree, self.below = tree, {}
+
+    def route(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        row, leaf, home = self.tree.route(fps)
+        parts = [(row, leaf, home)]
+        if self.below:
+            divided = np.isin(leaf, list(self.below))
+            parts = [(row[~divided], leaf[~divided], home[~divided])]
+            for k in np.unique(leaf[divided]).tolist():
+                mine = np.flatnonzero(leaf == k)
+                at, lower, still = self.below[k].route(fps[row[mine]], home[mine])
+                parts.append((row[mine][at], k + ((lower + 1) << self.tree.depth), still))
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
 def split(fps: np.ndarray, reach: int, rng: np.random.Generator, tries: int = 8) -> tuple[np.uint64, int, np.ndarray]:
     """(vantage point, radius, who is within): the least crowded boundary that leaves 30 to 70 % within."""
     if not len(fps):
@@ -149,66 +172,116 @@ def link_leaf(fps: np.ndarray, home: np.ndarray, guest: np.ndarray, reach: int,
                 link_leaf(fps, home[near], guest[far_guest <= r + reach], reach, classes, rng, small, level + 1)
                 link_leaf(fps, home[~near], np.concatenate((guest[far_guest > r - reach], home[crossing])), reach, classes, rng, small, level + 1)
                 return
-    every = np.concatenate((home, guest))
-    words = fps[every]
-    for a in range(0, len(home), 512):
-        for b in range(a, len(every), 8192):
-            close = np.bitwise_count(words[a : min(a + 512, len(home)), None] ^ words[None, b : b + 8192]) <= reach
-            i, j = np.nonzero(close)
-            i, j = i + a, j + b
-            apart = i != j
-            classes.add(every[i[apart]], every[j[apart]])
-
-
-def linked(distinct: DataFrame, reach: int = 3, sample: int = 1 << 16, leaf: int = 1 << 18, depth: int = 6, block: int = 1 << 16) -> DataFrame:
+    link_across(fps, home, np.concatenate((home, guest)), reach, classes)
+
+
+def link_across(fps: np.ndarray, rows: np.ndarray, others: np.ndarray, reach: int, classes: Classes) -> None:
+    """Link ``rows`` to ``others`` (both places in ``fps``) within ``reach`` bits, a block at a time.
+
+    Most of a block of rows may be of one class by then, as in a ball of near copies; those are compared only with words
+    that aren't of it yet.
+    """
+    for a in range(0, len(rows), 512):
+        part = rows[a : a + 512]
+        classes.flatten()
+        roots = classes.parent[part]
+        found, times = np.unique(roots, return_counts=True)
+        main = found[np.argmax(times)]
+        for mine, rest in ((part[roots == main], others[classes.parent[others] != main]), (part[roots != main], others)):
+            for b in range(0, len(rest), 8192) if len(mine) else ():
+                i, j = np.nonzero(np.bitwise_count(fps[mine][:, None] ^ fps[rest[b : b + 8192]][None, :]) <= reach)
+                classes.add(mine[i], rest[b + j])
+
+
+def lower_tree(sample: np.ndarray, parts: float, reach: int) -> VantageTree | None:
+    """A tree that divides a leaf into about ``parts``, from a sample of its homes; None if it would divide little.
+
+    It does if a part keeps over 60 % of the homes, or if homes become over two rows each: in a ball of near copies all
+    are near each boundary.
+    """
+    if len(sample) < 64:
+        return None
+    tree = VantageTree(sample, min(max(1, int(np.ceil(np.log2(parts)))), 10), reach)
+    _, leaf, home = tree.route(sample)
+    return tree if np.bincount(leaf[home]).max() <= 0.6 * len(sample) and len(leaf) <= 2 * len(sample) else None
+
+
+def linked(distinct: DataFrame, reach: int = 3, sample: int = 1 << 16, leaf: int = 1 << 18, depth: int = 6, least: int = 2048) -> DataFrame:
     """(u, v): links that join all fingerprints of ``distinct`` (fp, once each) that lie within ``reach`` bits.
 
     The tree comes from at most ``sample`` fingerprints (picked by a hash), its depth from the number of all:
     at least ``depth``, and more where leaves would hold over ``leaf``. Each leaf gives a spanning forest of its links,
-    fewer rows than it has members, in place of the pairs. A leaf that is at home to over ``block`` fingerprints, and over
-    four times its share (a ball of near copies, which no tree divides), is dealt by hash into blocks of about that
-    size, and each two blocks of it become a task: every pair still meets, and no task gets more than two blocks.
+    fewer rows than it has members, in place of the pairs. A leaf of over twice the mean of rows (and over ``least``) is
+    divided by a tree of its own, from a sample of its homes. What no tree divides (a ball of near copies) is dealt by
+    hash into blocks of about the mean, and each two blocks become a task: every pair still meets, and no task gets more
+    than about twice the mean.
     """
     spark = distinct.sparkSession
     n = distinct.count()
     if n < 2:
         return spark.createDataFrame([], "u long, v long")
-    # About a fifth more than is wanted pass the hash's filter, so that no task gathers a full sample from each other one.
-    passed = F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(min(1.0, 1.2 * sample / n) * (1 << 30))
-    some = [r.fp for r in distinct.where(passed).select("fp", F.xxhash64("fp").alias("h")).orderBy("h").limit(sample).collect()]
-    some = np.array(some, np.int64).view(np.uint64)
-    depth = min(max(depth, int(np.ceil(np.log2(n / leaf)))), int(np.log2(max(len(some) // 4, 2))))
-    tree = spark.sparkContext.broadcast(VantageTree(some, depth, reach))
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = batch.column("fp").to_numpy(zero_copy_only=False)
-            for at in range(0, len(fps), 1 << 16):
-                part = fps[at : at + (1 << 16)]
-                row, leaf, home = tree.value.route(part.view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(part[row]), pa.array(home)], ["leaf", "fp", "home"])
 
-    def solve(_, group):
+    def some(rows: DataFrame, total: int) -> DataFrame:
+        # About a fifth more than is wanted pass the hash's filter, so that no task gathers a full sample from each other one.
+        passed = F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(min(1.0, 1.2 * sample / max(total, 1)) * (1 << 30))
+        return rows.where(passed).withColumn("h", F.xxhash64("fp")).orderBy("h").limit(sample)
+
+    first = np.array([r.fp for r in some(distinct, n).select("fp").collect()], np.int64).view(np.uint64)
+    depth = min(max(depth, int(np.ceil(np.log2(n / leaf)))), int(np.log2(max(len(first) // 4, 2))))
+    router = Router(VantageTree(first, depth, reach))
+
+    def routed(router: Router) -> DataFrame:
+        shared = spark.sparkContext.broadcast(router)
+
+        def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                fps = batch.column("fp").to_numpy(zero_copy_only=False)
+                for at in range(0, len(fps), 1 << 16):
+                    part = fps[at : at + (1 << 16)]
+                    row, leaf, home = shared.value.route(part.view(np.uint64))
+                    yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(part[row]), pa.array(home)], ["leaf", "fp", "home"])
+
+        return distinct.select("fp").mapInArrow(route, "leaf long, fp long, home boolean")
+
+    def sizes(rows: DataFrame) -> tuple[list, int]:
+        """(leaves of over twice the mean of rows, with their rows and homes; that mean): a row for each leaf at most."""
+        found = rows.groupBy("leaf").agg(F.count_if("home").alias("homes"), F.count(F.lit(1)).alias("n")).collect()
+        mean = max(least // 2, -(-sum(r.n for r in found) // max(len(found), 1 << depth)))
+        return [r for r in found if r.n > 2 * mean], mean
+
+    large, mean = sizes(routed(router))
+    if large:
+        places = spark.createDataFrame([(r.leaf,) for r in large], "leaf long")
+        homes = routed(router).where("home").join(F.broadcast(places), "leaf")
+        drawn = some(homes, sum(r.homes for r in large)).select("leaf", "fp").toArrow()
+        of, fps = drawn.column("leaf").to_numpy(), drawn.column("fp").to_numpy().view(np.uint64)
+        made = {r.leaf: lower_tree(fps[of == r.leaf], r.n / mean, reach) for r in large}
+        router.below = {k: tree for k, tree in made.items() if tree is not None}
+        if router.below:
+            large, mean = sizes(routed(router))
+
+    def solve(key, group):
         fps = group.column("fp").to_numpy().view(np.uint64)
         home = group.column("home").to_numpy(zero_copy_only=False)
-        if group.column("divided")[0].as_py():  # a guest of the leaf may be a partner of any of its homes
-            home = np.ones(len(fps), bool)
         classes = Classes(len(fps))
-        link_leaf(fps, np.flatnonzero(home), np.flatnonzero(~home), reach, classes, np.random.default_rng(1))
+        if key[1] == key[2]:
+            link_leaf(fps, np.flatnonzero(home), np.flatnonzero(~home), reach, classes, np.random.default_rng(1))
+        else:  # words of one block have met each other in a task of its own
+            one = group.column("b").to_numpy() == key[1].as_py()
+            link_across(fps, np.flatnonzero(home & one), np.flatnonzero(~one), reach, classes)
+            link_across(fps, np.flatnonzero(home & ~one), np.flatnonzero(~home & one), reach, classes)
         classes.flatten()
         bound = classes.parent != np.arange(len(fps))
         return pa.table({"u": fps[bound].view(np.int64), "v": fps[classes.parent[bound]].view(np.int64)})
 
-    routed = distinct.select("fp").mapInArrow(route, "leaf long, fp long, home boolean")
-    homes = F.count_if("home")
-    large = routed.groupBy("leaf").agg(homes.alias("homes"), F.count(F.lit(1)).alias("n")).where(F.col("homes") > max(block, 4 * n >> depth)).collect()
-    parts = spark.createDataFrame([(r.leaf, -(-r.n // block)) for r in large], "leaf long, blocks long")  # a row for each leaf at most
-    routed = routed.join(F.broadcast(parts), "leaf", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
-    b = F.pmod(F.xxhash64("fp"), F.col("blocks"))
-    routed = routed.withColumn("b", b)
-    routed = routed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = routed.select("leaf", F.least("b", "other").alias("i"), F.greatest("b", "other").alias("j"), "fp", "home", (F.col("blocks") > 1).alias("divided"))
-    return dealt.groupBy("leaf", "i", "j").applyInArrow(solve, "u long, v long")
+    parts = spark.createDataFrame([(r.leaf, -(-r.n // mean)) for r in large], "leaf long, blocks long")  # a row for each leaf at most
+    rows = routed(router).join(F.broadcast(parts), "leaf", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+    rows = rows.withColumn("b", F.pmod(F.xxhash64("fp"), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = rows.select("leaf", F.least("b", "other").alias("i"), F.greatest("b", "other").alias("j"), "b", "fp", "home")
+    # Work is far more than bytes here, so small partitions aren't to be put together: about one for each group.
+    tasks = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), (1 << depth) + 4 * len(large)), 20_000)
+    return dealt.repartition(tasks, "leaf", "i", "j").groupBy("leaf", "i", "j").applyInArrow(solve, "u long, v long")
 
 
 def simhash_components(docs: DataFrame, reach: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -241,8 +314,8 @@ def drop_near_duplicates(docs: DataFrame, reach: int = 3, id_col: str = "doc_id"
     names = docs.columns
     flat = docs.toDF(*[f"_c{i}" for i in range(len(names))])
     doc_id, text = F.col(f"_c{names.index(id_col)}"), F.col(f"_c{names.index(text_col)}")
-    flat = flat.withColumn("text_key", F.xxhash64(text))
-    same = F.col("id").eqNullSafe(F.col("stay_id")) & (F.col("text_key") == F.col("stay_key"))
-    kept = flat.withColumn("id", doc_id).join(stay, same, "left_semi")
-    once = F.row_number().over(Window.partitionBy("id", "text_key").orderBy("text_key"))
-    return kept.withColumn("n", once).where("n = 1").select(*flat.columns[: len(names)]).toDF(*names)
+    keys = ["no_id", "id", "text_key"]  # join and window deal rows by the same keys, so texts move once
+    flat = flat.withColumns({"no_id": doc_id.isNull(), "id": F.coalesce(doc_id.cast("string"), F.lit("")), "text_key": F.xxhash64(text)})
+    stay = stay.select(F.col("stay_id").isNull().alias("no_id"), F.coalesce(F.col("stay_id").cast("string"), F.lit("")).alias("id"), F.col("stay_key").alias("text_key"))
+    once = F.row_number().over(Window.partitionBy(*keys).orderBy("text_key"))
+    return flat.join(stay, keys, "left_semi").withColumn("n", once).where("n = 1").select(*flat.columns[: len(names)]).toDF(*names)

@@ -513,7 +513,7 @@ def test_simhash(docs, empty):
     assert simhash.simhash_components(empty).count() == simhash.drop_near_duplicates(empty).count() == 0
 
 
-def test_vantage_links(spark):
+def test_vantage_links(spark, monkeypatch):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 63, 300, dtype=np.uint64) << np.uint64(1)
     close = [b ^ np.uint64(sum(1 << int(k) for k in rng.choice(64, rng.integers(1, 4), replace=False))) for b in base for _ in range(5)]
@@ -521,8 +521,20 @@ def test_vantage_links(spark):
     fps = np.unique(np.concatenate((base, np.array(close, np.uint64), np.array(ball, np.uint64))))
     df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long").repartition(4)
     labels = {r.node: r.label for r in components.components(simhash.linked(df, 3, sample=256, leaf=100, depth=4)).collect()}
-    divided = {r.node: r.label for r in components.components(simhash.linked(df, 3, sample=256, leaf=4000, depth=6, block=40)).collect()}
+    made = []
+    lower = simhash.lower_tree
+
+    def watched(*args):
+        made.append(lower(*args))
+        return made[-1]
+
+    monkeypatch.setattr(simhash, "lower_tree", watched)
+    divided = {r.node: r.label for r in components.components(simhash.linked(df, 3, sample=2048, leaf=4000, depth=1, least=16)).collect()}
     assert divided == labels
+    # Some leaves are divided by trees; a ball that none divides is dealt in blocks.
+    solved = simhash.linked(df, 3, sample=2048, leaf=4000, depth=6, least=16)
+    assert {r.node: r.label for r in components.components(solved).collect()} == labels
+    assert any(t is not None for t in made) and any(t is None for t in made)
     links = [(a, int(b)) for a in range(len(fps)) for b in np.flatnonzero(np.bitwise_count(fps[:a] ^ fps[a]) <= 3)]
     group = classes(len(fps), links)
     signed = fps.view(np.int64).tolist()
@@ -536,12 +548,34 @@ def test_vantage_links(spark):
     assert found.parent.tolist() == group
 
 
+def test_lower_trees():
+    rng = np.random.default_rng(5)
+    spread = rng.integers(0, 1 << 63, 4000, dtype=np.uint64)
+    ball = np.append(np.uint64(1) << np.arange(64, dtype=np.uint64), np.uint64(0))
+    assert simhash.lower_tree(ball, 8, 3) is None and simhash.lower_tree(spread[:10], 8, 3) is None
+    tree = simhash.VantageTree(spread, 3, 3)
+    router = simhash.Router(tree)
+    router.below = {2: simhash.VantageTree(spread, 2, 3), 5: simhash.VantageTree(spread, 1, 3)}
+    near = spread[:500] ^ np.uint64(0b10100001)
+    words_ = np.concatenate((spread[:500], near))
+    row, leaf, home = router.route(words_)
+    assert sorted(row[home]) == list(range(1000))  # at home in one leaf
+    where = defaultdict(set)
+    for r, x in zip(row.tolist(), leaf.tolist(), strict=True):
+        where[r].add(x)
+    at = dict(zip(row[home].tolist(), leaf[home].tolist(), strict=True))
+    assert all(at[i] in where[500 + i] or at[500 + i] in where[i] for i in range(500))
+
+
 def test_components(spark):
     rng = random.Random(8)
     links = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)] + [(i, i + 1) for i in range(500, 600)] + [(9, 9)]
     got = {r.node: r.label for r in components.components(spark.createDataFrame(links, "u long, v long")).collect()}
     group = classes(700, links)
     assert got == {i: group[i] for i in {x for a, b in links if a != b for x in (a, b)}}
+    assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
+    star = [(5000, i) for i in range(3000)]
+    assert {r.label for r in components.components(spark.createDataFrame(star, "u long, v long")).collect()} == {0}
 
 
 # 8
