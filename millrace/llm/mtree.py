@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +24,7 @@ class MTree:
     q.p + |q| (d + r); a page that this rules out costs no computation. A leaf's vectors are ruled out the same way.
     """
 
-    def __init__(self, vectors: np.ndarray, ids: np.ndarray, page: int = 1024, fan: int = 16, seed: int = 1) -> None:
+    def __init__(self, vectors: np.ndarray, ids: np.ndarray, page: int = 256, fan: int = 16, seed: int = 1) -> None:
         self.vectors, self.ids = vectors, ids
         self.root = np.zeros(vectors.shape[1])
         self.root_radius = 0.0
@@ -69,54 +68,74 @@ class MTree:
         which = np.argmin((pivots * pivots).sum(axis=1)[None, :] - 2 * (x @ pivots.T), axis=1)
         return [members[which == i] for i in range(len(pivots)) if (which == i).any()]
 
-    def search(self, query: np.ndarray, own: int | None, k: int, least: float = -np.inf) -> list[tuple[int, int]]:
-        """Up to ``k`` (score, id) of the highest score, ties to the smaller id, without the query's own id.
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, id, score): up to ``k`` of the highest scores of each query, ties to the smaller id, its own id left out.
 
-        Vectors that can't reach ``least`` may be left out.
+        Each query goes best first: in every round it opens the page that promises it most, until none promises what its
+        k-th score is by then. Queries that open the same page in a round share one matrix product. Vectors that can't
+        reach ``least`` may be left out.
         """
-        if not self.members:
-            return []
-        norm = float(np.sqrt(query @ query))
-        best: list[tuple[int, int]] = []  # a heap of (score, -id), the worst first
-
-        def bar() -> float:
-            return max(least, best[0][0]) if len(best) == k else least
-
-        def reach(upto: np.ndarray) -> np.ndarray:
-            return upto + SLACK * (1 + np.abs(upto)) >= bar()
-
-        to_router = float(query @ self.root)
-        queue = [(-(to_router + norm * self.root_radius), 0, to_router)]
-        while queue:
-            bound, node, to_router = heapq.heappop(queue)
-            if -bound + SLACK * (1 + abs(bound)) < bar():
-                break
-            if self.members[node] is not None:
-                first, last, far = self.members[node]
-                first += int(np.argmax(can)) if (can := reach(to_router + norm * far)).any() else last - first
-                scores, ids = self.vectors[first:last] @ query, self.ids[first:last]
-                self.computed += last - first
-                if own is not None and (ids == own).any():
-                    scores, ids = scores[ids != own], ids[ids != own]
-                if len(scores) > 4 * k:  # no more than k of a page can matter, and those that tie with the last
-                    some = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
-                    scores, ids = scores[some], ids[some]
-                some = scores >= bar()
-                for s, i in zip(scores[some].tolist(), ids[some].tolist(), strict=True):
-                    entry = (int(s), -i)
-                    if len(best) < k:
-                        heapq.heappush(best, entry)
-                    elif entry > best[0]:
-                        heapq.heapreplace(best, entry)
-                continue
-            nodes, routers, radii, away = self.children[node]
-            some = np.flatnonzero(reach(to_router + norm * (away + radii)))
-            to_child = routers[some] @ query
-            self.computed += len(some)
-            upto = to_child + norm * radii[some]
-            for x in np.flatnonzero(reach(upto)).tolist():
-                heapq.heappush(queue, (-float(upto[x]), int(nodes[some[x]]), float(to_child[x])))
-        return [(s, -i) for s, i in sorted(best, reverse=True)]
+        m = len(queries)
+        held: tuple[np.ndarray, np.ndarray, np.ndarray] = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        if not len(self.ids) or not m:
+            return held
+        norm, bar = np.sqrt((queries * queries).sum(axis=1)), least.astype(float)
+        upto, product = np.full((m, len(self.members)), -np.inf), np.zeros((m, len(self.members)))
+        product[:, 0] = queries @ self.root
+        upto[:, 0] = product[:, 0] + norm * self.root_radius
+        while True:
+            page = np.argmax(upto, axis=1)
+            best = upto[np.arange(m), page]
+            open_ = np.flatnonzero(np.isfinite(best))
+            open_ = open_[best[open_] + SLACK * (1 + np.abs(best[open_])) >= bar[open_]]
+            if not len(open_):
+                return held
+            new = [held]
+            for node in np.unique(page[open_]).tolist():
+                mine = open_[page[open_] == node]
+                upto[mine, node] = -np.inf
+                if self.members[node] is None:
+                    self._children(node, mine, queries, norm, bar, upto, product)
+                else:
+                    new.append(self._leaf(node, mine, queries, norm, own, k, bar, product))
+            if len(new) > 1:
+                held = highest(*(np.concatenate(x) for x in zip(*new, strict=True)), k)
+                at = np.arange(k - 1, len(held[0]))
+                at = at[held[0][at] == held[0][at - k + 1]]  # the k-th of a query
+                bar[held[0][at]] = np.maximum(bar[held[0][at]], held[2][at])
+
+    def _children(self, node: int, mine: np.ndarray, queries: np.ndarray, norm: np.ndarray, bar: np.ndarray, upto: np.ndarray, product: np.ndarray) -> None:
+        nodes, routers, radii, away = self.children[node]
+        first = product[mine, node][:, None] + norm[mine][:, None] * (away + radii)[None, :]
+        can = first + SLACK * (1 + np.abs(first)) >= bar[mine][:, None]
+        some = np.flatnonzero(can.any(axis=0))
+        found = queries[mine] @ routers[some].T
+        self.computed += found.size
+        product[np.ix_(mine, nodes[some])] = found
+        upto[np.ix_(mine, nodes[some])] = np.where(can[:, some], found + norm[mine][:, None] * radii[some][None, :], -np.inf)
+
+    def _leaf(self, node: int, mine: np.ndarray, queries: np.ndarray, norm: np.ndarray, own: np.ndarray, k: int, bar: np.ndarray, product: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        first, last, far = self.members[node]
+        upto = product[mine, node] + norm[mine] * far[:, None]
+        first += int(np.argmax(np.append((upto + SLACK * (1 + np.abs(upto)) >= bar[mine]).any(axis=1), True)))
+        if first == last:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        scores, ids = queries[mine] @ self.vectors[first:last].T, self.ids[first:last]
+        self.computed += scores.size
+        scores[own[mine][:, None] == ids[None, :]] = -np.inf
+        floor = bar[mine]
+        if len(ids) > k:  # no more than k of a page can matter, and those that tie with the last
+            floor = np.maximum(floor, np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k])
+        row, at = np.nonzero((scores >= floor[:, None]) & np.isfinite(scores))
+        return mine[row], ids[at], scores[row, at]
+
+
+def highest(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` highest scores of each query, ties to the smaller id; by query, from the highest."""
+    order = np.lexsort((ids, -scores, query))
+    query, ids, scores = query[order], ids[order], scores[order]
+    keep = np.arange(len(query)) - np.searchsorted(query, query) < k
+    return query[keep], ids[keep], scores[keep]
 
 
 def whole_numbers(vectors: DataFrame, id_col: str, vector_col: str, factor: int) -> DataFrame:
@@ -136,8 +155,9 @@ def top_k(
     k: int = 5,
     every: int = 50,
     factor: int = 256,
-    shard: int = 4096,
+    shard: int = 8192,
     most_pivots: int = 2048,
+    most_queries: int = 4096,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
 ) -> DataFrame:
@@ -146,7 +166,9 @@ def top_k(
     Vectors go to the nearest of a bounded number of pivots (about one for ``shard`` vectors, ``most_pivots`` at most,
     those of least hash); a pivot with more than ``shard`` vectors, copies of one say, is divided by a hash of the id.
     Each shard becomes an M-tree. A query first searches the shard that promises most; the k-th score found there is a
-    bar, and only shards whose bound reaches it are searched too. The result is exact.
+    bar, and only shards whose bound reaches it are searched too. The result is exact. Where over ``most_queries``
+    queries meet in a shard, they are dealt by a hash over as many copies of it as that needs, so a task has at most
+    ``shard`` vectors and about ``most_queries`` queries.
 
     Ties go to the smaller id. Components count as floor(factor * x), in 64-bit arithmetic that is exact for them;
     vectors null, empty or with a component null or not finite take no part, nor do rows without an id; vectors of
@@ -219,21 +241,26 @@ def top_k(
         return run
 
     def search(_, data, asked):
-        out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
+        query, ids, scores = (np.zeros(0, np.int64),) * 3
         if data.num_rows and asked.num_rows:
             order = np.argsort(data.column("vec_id").to_numpy(), kind="stable")
             tree = MTree(dense(data.column("v"), d)[order], data.column("vec_id").to_numpy()[order])
-            for i, q, bar in zip(asked.column("vec_id").to_pylist(), dense(asked.column("v"), d), asked.column("bar").to_pylist(), strict=True):
-                for score, j in tree.search(q, i, k, bar):
-                    out["query_id"].append(i)
-                    out["vec_id"].append(j)
-                    out["score"].append(score)
-        return pa.table({c: pa.array(v, pa.int64()) for c, v in out.items()})
+            own = asked.column("vec_id").to_numpy()
+            found, ids, scores = tree.search(dense(asked.column("v"), d), own, k, asked.column("bar").to_numpy())
+            query = own[found]
+        return pa.table({"query_id": pa.array(query, pa.int64()), "vec_id": pa.array(ids, pa.int64()), "score": pa.array(scores.astype(np.int64))})
 
     def answers(asked: DataFrame, first: bool) -> DataFrame:
         routed = asked.mapInArrow(route(first), "vec_id long, v array<double>, bar double, shard long")
-        data = sharded.select("shard", "vec_id", "v").groupBy("shard")
-        return data.cogroup(routed.groupBy("shard")).applyInArrow(search, "query_id long, vec_id long, score long")
+        # A row for each shard that more queries ask than a task takes.
+        hot = routed.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / most_queries).alias("copies")).where("copies > 1")
+        hot = F.broadcast(checkpoint(hot))
+        copies = F.coalesce("copies", F.lit(1).cast("long"))
+        routed = routed.join(hot, "shard", "left").withColumn("copy", F.pmod(F.xxhash64("vec_id"), copies))
+        data = sharded.select("shard", "vec_id", "v").join(hot, "shard", "left")
+        data = data.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)).alias("copy"), "vec_id", "v")
+        routed = routed.select("shard", "copy", "vec_id", "v", "bar")
+        return data.groupBy("shard", "copy").cogroup(routed.groupBy("shard", "copy")).applyInArrow(search, "query_id long, vec_id long, score long")
 
     queries = placed.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     nothing = F.lit(float("-inf")).alias("bar")

@@ -594,8 +594,10 @@ def test_top_k(spark):
     for i, q in asked.items():
         best = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), j) for j, v in vectors if j != i)[:5]
         want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
-    for shard in (4096, 64):
-        assert sorted(map(tuple, mtree.top_k(df, shard=shard).collect())) == sorted(want)
+    for shard, most in ((4096, 4096), (64, 2)):
+        assert sorted(map(tuple, mtree.top_k(df, shard=shard, most_queries=most).collect())) == sorted(want)
+    clashing = df.selectExpr("1 AS shard", "2 AS Vec_Id", "vec_id", "3 AS v", "embedding", "4 AS score", "5 AS vec_id")
+    assert sorted(map(tuple, mtree.top_k(clashing).collect())) == sorted(want)
     assert mtree.top_k(df.limit(0)).count() == 0
     few = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (2, [2.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in mtree.top_k(few).orderBy("rank").collect()] == [(0, 1, 1, 256 * 512), (0, 2, 2, 256 * 512)]
@@ -606,10 +608,19 @@ def test_tree_spares_work():
     centres = rng.normal(size=(20, 8)) * 50
     v = np.floor(centres[rng.integers(0, 20, 4000)] * 10 + rng.normal(size=(4000, 8)))
     tree = mtree.MTree(v, np.arange(4000), page=64)
-    for i in range(0, 4000, 200):
+    asked = np.arange(0, 4000, 200)
+    want = []
+    for i in asked:
         s = v @ v[i]
-        assert tree.search(v[i], i, 5) == [(int(-a), int(b)) for a, b in sorted((-s[j], j) for j in range(4000) if j != i)[:5]]
+        want += [(i, int(b), int(-a)) for a, b in sorted((-s[j], j) for j in range(4000) if j != i)[:5]]
+    query, ids, scores = tree.search(v[asked], asked, 5, np.full(20, -np.inf))
+    assert list(zip(asked[query], ids, scores, strict=True)) == want
     assert tree.computed < 20 * 4000 * 0.5
+    # What can't reach a bar may be missing, nothing else.
+    query, ids, scores = tree.search(v[asked], asked, 5, np.array([want[5 * n + 2][2] for n in range(20)], float))
+    assert {(asked[q], i, s) for q, i, s in zip(query, ids, scores, strict=True)} >= {x for n in range(20) for x in want[5 * n : 5 * n + 3]}
+    few = mtree.MTree(v[:3], np.arange(3)).search(v[:1], np.array([0]), 5, np.array([-np.inf]))
+    assert len(few[0]) == 2 and not len(mtree.MTree(v[:0], np.arange(0)).search(v[:1], np.array([0]), 5, np.array([-np.inf]))[0])
 
 
 # 9
