@@ -27,6 +27,8 @@ FAINT = 0.05
 MOST_EVIDENCE = 10.0
 #: Tokens of context around what is trained on, and the longest stretch of it that is one sequence.
 MARGIN, RUN = 8, 64
+#: Tokens of training material that are worked on at a time.
+TOKENS = 1 << 17
 
 
 def features(word: str) -> list[str]:
@@ -53,15 +55,19 @@ class Corpus:
 
     def __init__(self, texts: list[str], toxic: list[bool]) -> None:
         number: defaultdict[str, int] = defaultdict(count().__next__)
-        self.texts = [np.array([number[w] for w in WORDS.findall(t)], np.int64) for t in texts]
+        self.texts = [np.fromiter((number[m[0]] for m in WORDS.finditer(t)), np.int32) for t in texts]
         self.toxic, self.n_words = np.array(toxic, bool), len(number)
         index: defaultdict[str, int] = defaultdict(count().__next__)
-        rows = [[index[f] for f in features(w)] for w in number]
+        cols, width = array("i"), array("i")
+        for w in number:
+            found = features(w)
+            cols.extend([index[f] for f in found])
+            width.append(len(found))
+        del number
         #: Features of word i: cols from starts[i], width[i] of them; the first is the word itself, the last its end.
-        self.cols = np.array([j for r in rows for j in r], np.int64)
-        self.width = np.array([len(r) for r in rows], np.int64)
-        self.starts = np.cumsum(self.width) - self.width
-        self.owner = np.repeat(np.arange(self.n_words), self.width)
+        self.cols, self.width = np.array(cols, np.int32), np.array(width, np.int32)
+        self.starts = np.cumsum(self.width, dtype=np.int64) - self.width
+        self.owner = np.repeat(np.arange(self.n_words, dtype=np.int32), self.width)
         self.names = list(index)
         numbers = copies(texts)
         self.single, self.half = np.ones(len(texts), bool), np.zeros(len(texts), np.int64)
@@ -193,31 +199,41 @@ class Sequences:
     """Training material: words and tags of sequences that lie one after the other, their lengths and weights."""
 
     def __init__(self, corpus: Corpus, made: list[tuple[np.ndarray, np.ndarray, float]]) -> None:
-        self.words, self.tags = (np.concatenate([m[k] for m in made]).astype(np.int64) for k in (0, 1))
+        words, self.tags = np.concatenate([m[0] for m in made]), np.concatenate([m[1] for m in made]).astype(np.int8)
         self.lengths = np.array([len(m[0]) for m in made], np.int64)
-        self.firsts = np.cumsum(self.lengths) - self.lengths
-        self.each = np.repeat([m[2] for m in made], self.lengths)
-        self.met, self.words = np.unique(self.words, return_inverse=True)
+        self.each = np.repeat(np.array([m[2] for m in made], np.float32), self.lengths)
+        self.met, words = np.unique(words, return_inverse=True)
+        self.words = words.astype(np.int32)
         self.owner, self.cols = corpus.features_of(self.met)
         often = np.bincount(self.cols, np.bincount(self.words, minlength=len(self.met))[self.owner], len(corpus.names)) >= 2
         self.owner, self.cols = self.owner[often[self.cols]], self.cols[often[self.cols]]
+        firsts = np.cumsum(self.lengths) - self.lengths
         inner = np.ones(len(self.tags), bool)
-        inner[self.firsts] = False
+        inner[firsts] = False
         second = np.flatnonzero(inner)
-        self.seen = np.zeros((2, 2))
-        np.add.at(self.seen, (self.tags[second - 1], self.tags[second]), self.each[second])
+        pair = 2 * self.tags[second - 1] + self.tags[second]
+        self.seen = np.bincount(pair, self.each[second], 4).reshape(2, 2)
+        #: (first and last sequence, first and last token) of blocks of about ``TOKENS``.
+        cuts = np.append(np.unique(firsts // TOKENS, return_index=True)[1], len(self.lengths))
+        ends = np.append(firsts, len(self.tags))
+        self.blocks = [(a, b, ends[a], ends[b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def gradient(self, field: Field, w: np.ndarray, l2: float) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
         """Of the weighted negative log-likelihood and the penalty: by feature weights, bias, steps and start."""
-        e = field.bias + np.bincount(self.owner, w[self.cols], len(self.met))[self.words]
-        passed = field.passes(e, self.lengths)
-        delta = (field.marginals(e, self.lengths, passed) - self.tags) * self.each
-        by_word = np.bincount(self.words, delta, len(self.met))
-        lead = delta[self.firsts].sum()
+        by_word, by_pair, lead = np.zeros(len(self.met)), -self.seen, 0.0
+        emissions = field.bias + np.bincount(self.owner, w[self.cols], len(self.met))
+        for a, b, first, last in self.blocks:
+            words, lengths, each = self.words[first:last], self.lengths[a:b], self.each[first:last]
+            e = emissions[words]
+            passed = field.passes(e, lengths)
+            delta = (field.marginals(e, lengths, passed) - self.tags[first:last]) * each
+            by_word += np.bincount(words, delta, len(self.met))
+            by_pair = by_pair + field.pairs(e, lengths, each, passed)
+            lead += delta[np.cumsum(lengths) - lengths].sum()
         return (
             np.bincount(self.cols, by_word[self.owner], len(w)) + l2 * w,
-            delta.sum(),
-            field.pairs(e, self.lengths, self.each, passed) - self.seen + l2 * field.steps,
+            by_word.sum(),
+            by_pair + l2 * field.steps,
             np.array([-lead, lead]) + l2 * field.start,
         )
 
@@ -319,7 +335,7 @@ def fit(texts: list[str], toxic: list[bool], prior: float = 1.0, epochs: int = 6
 def training_texts(docs: DataFrame, labels: DataFrame, most_toxic: int, most_clean: int, most_bytes: int, hold_out: tuple[int, int], id_col: str, text_col: str, label_col: str) -> tuple[list[str], list[bool], float]:
     """(texts, labels, prior): different texts of labelled ids that aren't held out, at most so many of each label.
 
-    Those of least hash, copies once, and of each label no more than half of ``most_bytes`` hold (one at least). Only
+    Those of least hash, copies once; toxic ones up to a third of ``most_bytes`` and clean ones up to the rest (one at least). Only
     hashes and sizes are ordered; the drawn hashes are few enough to broadcast. A text with both labels is toxic. prior
     is how many times as thinly clean texts are drawn as toxic ones.
     """
@@ -332,9 +348,9 @@ def training_texts(docs: DataFrame, labels: DataFrame, most_toxic: int, most_cle
     totals = {r.y: r["count"] for r in found.groupBy("y").count().collect()}
     drawn: dict[int, int] = {}
     rates = {}
-    for y, most in ((1, most_toxic), (0, most_clean)):
+    for y, most, room in ((1, most_toxic, most_bytes // 3), (0, most_clean, most_bytes - most_bytes // 3)):
         least = found.where(F.col("y") == y).orderBy("h").limit(most).select("h", "n").collect()
-        fits = np.cumsum([r.n for r in least]) <= most_bytes // 2
+        fits = np.cumsum([r.n for r in least]) <= room
         mine = [r.h for i, r in enumerate(least) if i == 0 or fits[i]]
         drawn |= dict.fromkeys(mine, y)
         rates[y] = len(mine) / max(totals.get(y, 0), 1)
@@ -410,7 +426,7 @@ def score_toxicity(
     labels: DataFrame,
     most_toxic: int = 1500,
     most_clean: int = 3000,
-    most_bytes: int = 32 << 20,
+    most_bytes: int = 16 << 20,
     hold_out: tuple[int, int] = (4, 2),
     cut: float = 0.3,
     id_col: str = "doc_id",
@@ -435,7 +451,7 @@ def keep_clean(
     labels: DataFrame,
     most_toxic: int = 1500,
     most_clean: int = 3000,
-    most_bytes: int = 32 << 20,
+    most_bytes: int = 16 << 20,
     hold_out: tuple[int, int] = (4, 2),
     cut: float = 0.3,
     id_col: str = "doc_id",

@@ -345,8 +345,9 @@ def test_field_marginals():
     assert np.allclose(pairs, joint)
 
 
-def test_training_step():
+def test_training_step(monkeypatch):
     """The gradient against differences of the likelihood, worked out over all labellings."""
+    monkeypatch.setattr(toxicity, "TOKENS", 4)
     rng = np.random.default_rng(9)
     corpus = toxicity.Corpus(["aaa bbb aaa ccc", "bbb ccc ddd", "ddd"], [True, False, False])
     tags = [np.array([1, 0, 1, 0]), np.array([0, 0, 0]), np.array([0])]
@@ -436,7 +437,7 @@ def test_training_texts(spark):
     assert dict(zip(texts_, toxic, strict=True)) == want and len(texts_) == len(want) and prior == 1
     texts_, toxic, prior = toxicity.training_texts(data, labels, 10, 5, 1 << 20, *args)
     assert (sum(toxic), len(toxic)) == (10, 15) and prior == pytest.approx(10 / sum(want.values()) / (5 / sum(not y for y in want.values())))
-    texts_, toxic, _ = toxicity.training_texts(data, labels, 1000, 1000, 200, *args)
+    texts_, toxic, _ = toxicity.training_texts(data, labels, 1000, 1000, 300, *args)
     assert 0 < sum(len(t.encode()) for t, y in zip(texts_, toxic, strict=True) if y) <= 100 and 0 < sum(toxic) < len(toxic)
     assert toxicity.training_texts(data, labels.limit(0), 10, 5, 1 << 20, *args) == ([], [], 1.0)
 
