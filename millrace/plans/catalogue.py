@@ -180,17 +180,18 @@ def q25_dedup_rows(spark, d):
     return scan(spark, d, "documents").select(["text"]).dedup([]).to_df()
 
 
-_BIG = "SELECT * FROM orders WHERE o_totalprice > 300000"
-_SOME = "SELECT c_custkey, c_name FROM customer WHERE c_custkey % 3 <> 0"
+#: Orders as the left side: dear ones have a key that no customer has, those in process none at all.
+_KEY = "if(o_orderstatus == 'P', null, if(o_totalprice > 300000, o_custkey + 100000000, o_custkey))"
+_ORDERS = "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN NULL WHEN o_totalprice > 300000 THEN o_custkey + 100000000 ELSE o_custkey END AS k FROM orders"
 
 
 def _join(spark, d, how):
-    right = scan(spark, d, "customer").filter("c_custkey % 3 != 0").select(["c_custkey", "c_name"])
-    return scan(spark, d, "orders").filter("o_totalprice > 300000").select(["o_orderkey", "o_custkey"]).join(right, ["o_custkey"], ["c_custkey"], how).to_df()
+    right = scan(spark, d, "customer").select(["c_custkey", "c_name"])
+    return scan(spark, d, "orders").map({"o_orderkey": "o_orderkey", "k": _KEY}).join(right, ["k"], ["c_custkey"], how).to_df()
 
 
 def _join_sql(how):
-    return f"SELECT o_orderkey, o_custkey, c_custkey, c_name FROM ({_BIG}) o {how} JOIN ({_SOME}) c ON o_custkey = c_custkey"
+    return f"SELECT o_orderkey, k, c_custkey, c_name FROM ({_ORDERS}) o {how} JOIN customer c ON k = c_custkey"
 
 
 @query(_join_sql("INNER"))
@@ -287,15 +288,17 @@ _same("q41_sql_limit", "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orde
 _same("q42_sql_star_and_more", "SELECT *, n_nationkey + 1 AS next FROM nation WHERE n_name <> 'it''s'", "nation")
 
 
+_MOVED, _DEARER = "CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey + 100000000 ELSE s_suppkey END", "CASE WHEN s_suppkey % 7 = 0 THEN s_acctbal + 1 ELSE s_acctbal END"
+
+
 @query(
-    """WITH a AS (SELECT s_suppkey, s_name, s_acctbal FROM supplier WHERE s_suppkey % 5 <> 0), b AS (SELECT s_suppkey, s_name, CASE WHEN s_suppkey % 7 = 0 THEN s_acctbal + 1 ELSE s_acctbal END AS s_acctbal FROM supplier WHERE s_suppkey % 3 <> 0)
+    f"""WITH a AS (SELECT s_suppkey, s_name, s_acctbal FROM supplier), b AS (SELECT {_MOVED} AS s_suppkey, s_name, {_DEARER} AS s_acctbal FROM supplier)
     SELECT '-' AS _diff, a.* FROM a LEFT JOIN b USING (s_suppkey) WHERE b.s_name IS NULL OR a.s_acctbal IS DISTINCT FROM b.s_acctbal
     UNION ALL SELECT '+' AS _diff, b.* FROM b LEFT JOIN a USING (s_suppkey) WHERE a.s_name IS NULL OR a.s_acctbal IS DISTINCT FROM b.s_acctbal"""
 )
 def q43_diff(spark, d):
-    supplier = spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", "s_name", "s_acctbal")
-    a = supplier.where("s_suppkey % 5 <> 0")
-    b = supplier.where("s_suppkey % 3 <> 0").withColumn("s_acctbal", F.expr("CASE WHEN s_suppkey % 7 = 0 THEN s_acctbal + 1 ELSE s_acctbal END"))
+    a = spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", "s_name", "s_acctbal")
+    b = a.select(F.expr(_MOVED).alias("s_suppkey"), "s_name", F.expr(_DEARER).alias("s_acctbal"))
     return diff(a, b, ["s_suppkey"]).rows
 
 
