@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import ConfigError, DataQualityError, IoError, MillraceError
+from ..errors import ConfigError, DataQualityError, IoError, JsonError, MillraceError
 from ..operators import closures, stages
 from ..operators.quality import Check, HasType, NoNulls, OneOf, Range, RowsAtLeast, RowsAtMost, Unique
 from ..sources import columnar, external, files, sinks
@@ -398,7 +398,7 @@ class Pipeline:
         text = str(e)
         if "malformed row: " in text:
             path = text.split(": malformed row")[0].rsplit(" ", 1)[-1]
-            return files.malformed_csv(path, e)
+            return JsonError(f"{path}: malformed row") if files.detect(path) == "jsonl" else files.malformed_csv(path, e)
         return e
 
     def _write_dead(self, dead: closures.DeadLetters) -> None:

@@ -296,12 +296,19 @@ def _narrow(df: DataFrame) -> DataFrame:
 
 
 def read_jsonl(spark: SparkSession, path: str, policy: Policy = Policy()) -> DataFrame:
-    """A JSON object on each line; blank lines are passed over. Dates stay text."""
+    """A JSON object on each line; blank lines are passed over. Dates stay text.
+
+    A line of over ``MAX_RECORD`` bytes is a malformed row, and isn't parsed.
+    """
     _exists(spark, path)
-    reader = spark.read.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).option("maxRecordLength", MAX_RECORD)
-    found = reader.json(path)
-    fields = [f for f in found.schema if f.name != CORRUPT]
-    raw = reader.schema(T.StructType([*fields, T.StructField(CORRUPT, T.StringType())])).json(path)
+    found = spark.read.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
+    schema = T.StructType([*(f for f in found.schema if f.name != CORRUPT), T.StructField(CORRUPT, T.StringType())])
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    within = F.octet_length("value") <= MAX_RECORD
+    row = F.from_json(F.when(within, F.col("value")).otherwise("{}"), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    long = F.col("value") if policy.kind == "quarantine" else F.concat(F.lit(f"a record of over {MAX_RECORD} bytes: "), F.substring("value", 1, 80))
+    raw = lines.select(row.alias("row"), F.when(~within, long).alias("long")).select("row.*", "long")
+    raw = raw.withColumn(CORRUPT, F.coalesce("long", CORRUPT)).drop("long")
     good = _sound(raw, path, policy)
     if policy.kind == "quarantine":
         _quarantine(policy, _broken(raw), None)

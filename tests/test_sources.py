@@ -85,6 +85,17 @@ def test_policies(spark, put, tmp_path):
         Pipeline(spark).on_error("ignore")
 
 
+def test_jsonl_record_limit(spark, put, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "MAX_RECORD", 40)
+    line = lambda n: '{"a": "' + "x" * (n - 9) + '"}'
+    assert len(line(40)) == 40 and len(Pipeline(spark).read_jsonl(put("at.jsonl", line(40) + "\n" + line(12))).collect()) == 2
+    over, jar = put("over.jsonl", line(41) + "\n" + line(12) + "\n"), str(tmp_path / "long.jsonl")
+    with pytest.raises(JsonError):
+        Pipeline(spark).read_jsonl(over).collect()
+    assert len(Pipeline(spark).on_error("skip").read_jsonl(over).collect()) == 1
+    assert len(Pipeline(spark).on_error(f"quarantine:{jar}").read_jsonl(over).collect()) == 1 and open(jar).read() == line(41) + "\n"
+
+
 def test_jsonl(spark, put, tmp_path):
     path = put("t.jsonl", '{"id": 1, "city": "x", "big": 5000000000, "day": "2024-01-01"}\n\n{"id": 2, "tags": [1, {"a": 2}]}\n')
     p = Pipeline(spark).read_jsonl(path)
