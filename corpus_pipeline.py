@@ -19,22 +19,27 @@ from millrace.llm.common import shared_folder, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.3 or more. Null and empty texts score like any other; without labels all score 0.5 and stay."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below 0.3. Null and empty texts score 0 and stay; without toxic labels all stay."""
     return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group: that of the smallest id, then text hash. Texts without words, null ones too, are one group."""
     return simhash.drop_near_duplicates(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's target asks. A null source is a source; without any words nothing is taken."""
     return mixing.mix_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Digests of the pieces of all sequences. A null text is empty: its id 1 alone is packed. An empty table gives none."""
     return packing.piece_digests(packing.pack_documents(docs))
 
 
