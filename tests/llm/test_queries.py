@@ -88,3 +88,23 @@ def test_pipeline(spark):
     for r in pieces[:50]:
         ids = tk.encode(texts[r.doc_id], add_special_tokens=False).ids + [1]
         assert zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes()) == r.ids_crc32 and r.doc_tokens == len(ids)
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Nulls in any column, repeated rows, empty texts, extra columns; then empty tables."""
+    words_ = "alpha beta gamma delta of the".split()
+    rows = [(i, " ".join(words_[(i * k) % 6] + str(i % 3) for k in range(30)), "en" if i % 2 else None, f"s{i % 3}" if i % 4 else None, i) for i in range(60)]
+    rows += [rows[0], rows[0], (None, None, None, None, None), (70, "", "en", "s1", 1), (71, " \n", None, None, 2), (72, None, "de", "s2", 3), (None, rows[5][1], None, "s0", 4)]
+    labels = [(i, i % 2, int(i % 5 == 0)) for i in range(0, 60, 2)] + [(None, 1, 1), (3, None, None)]
+    shape = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, data, known in (("odd", rows, labels), ("unlabelled", rows, []), ("empty", [], [])):
+        spark.createDataFrame(data, shape).selectExpr("*", "1 AS copies", "2 AS text_key", "3 AS fp").write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame(known, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        docs = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            left = stage(spark, docs, f"{tmp_path}/{name}")
+            assert left.columns == docs.columns
+        found = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert bool(found) == (name == "unlabelled") or name == "odd"
+        ids = {r.doc_id for r in found}
+        assert ids <= {r[0] for r in data}
