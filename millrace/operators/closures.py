@@ -24,6 +24,8 @@ class DeadLetters:
     """Rows on which a closure failed: (stage, rows with their error) for each closure."""
 
     frames: list[tuple[str, DataFrame]] = field(default_factory=list)
+    #: What is kept until the dead letters are written.
+    held: list[DataFrame] = field(default_factory=list)
 
 
 def _each(df: DataFrame, schema: T.StructType, function: Callable[[dict], dict], caught: bool) -> DataFrame:
@@ -49,6 +51,7 @@ def _apart(flow: Flow, name: str, df: DataFrame, dead: DeadLetters | None) -> Da
     if dead is None:
         return df
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    dead.held.append(df)
     failed = df.where(F.col(ERROR).isNotNull())
     dead.frames.append((name, failed.select(F.lit(name).alias("_dead_letter_stage"), F.col(ERROR).alias("_error"), *map(quoted, flow.columns))))
     return df.where(F.col(ERROR).isNull())

@@ -402,12 +402,13 @@ class Pipeline:
         return e
 
     def _write_dead(self, dead: closures.DeadLetters) -> None:
-        found = [(n, df, df.count()) for n, df in dead.frames]
-        self._dead_rows = sum(k for *_, k in found)
+        """Rows stream through the driver, a partition at a time."""
+        self._dead_rows = 0
         with open(self._dead_path, "w", encoding="utf-8") as out:
-            for _, df, k in found:
-                if k:
-                    out.write(sinks.to_csv_text(df))
+            for _, df in dead.frames:
+                self._dead_rows += sinks.stream_csv(df, out)
+        for df in dead.held:
+            df.unpersist()
 
     def collect(self) -> list[dict]:
         """Rows as dicts; dates and timestamps as ISO text. Any sink is left alone."""

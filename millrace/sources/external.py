@@ -12,6 +12,7 @@ import time
 import urllib.error
 import urllib.parse
 import urllib.request
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -52,7 +53,8 @@ def _transient(e: Exception) -> bool:
 
 
 def read_http(spark: SparkSession, url: str, policy: Policy = Policy(), retry: RetryPolicy = RetryPolicy(), max_body: int = 1 << 30) -> DataFrame:
-    """A file behind a URL, fetched by the driver, shipped to the executors' folder and read by its name's format."""
+    """A file behind a URL, fetched by the driver and read by its name's format, from ``spark.checkpoint.dir`` (which executors
+    share) or, where that is unset, as in local mode, from a temporary folder."""
     from . import files
 
     def fetch() -> str:
@@ -73,8 +75,14 @@ def read_http(spark: SparkSession, url: str, policy: Policy = Policy(), retry: R
         path = retry.run(fetch, _transient)
     except (urllib.error.URLError, TimeoutError, ConnectionError) as e:
         raise IoError(f"{url}: {e}") from e
-    spark.sparkContext.addFile(path)
-    return files.read(spark, f"file://{path}", policy)
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        return files.read(spark, f"file://{path}", policy)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    target = hadoop(f"{shared}/millrace-http-{uuid.uuid4().hex}/{os.path.basename(path)}")
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).copyFromLocalFile(True, True, hadoop(f"file://{path}"), target)
+    os.rmdir(os.path.dirname(path))
+    return files.read(spark, target.toString(), policy)
 
 
 def object_uri(store: str, container: str, key: str) -> str:

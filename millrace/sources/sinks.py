@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+from typing import TextIO
 
 import numpy as np
 import pandas as pd
@@ -133,3 +134,14 @@ def to_csv_text(df: DataFrame) -> str:
     lines = [",".join(map(_quoted, df.columns))]
     lines += [",".join("" if v is None else _quoted(v) for v in r) for r in rows]
     return "\n".join(lines) + "\n"
+
+
+def stream_csv(df: DataFrame, out: TextIO) -> int:
+    """Append the rows as CSV, with a header if there are any; their number. The driver holds a partition at a time."""
+    n = 0
+    for row in df.select(*shown(df)).toLocalIterator():
+        if not n:
+            out.write(",".join(map(_quoted, df.columns)) + "\n")
+        out.write(",".join("" if v is None else _quoted(v) for v in row) + "\n")
+        n += 1
+    return n
