@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import CsvError, DataQualityError, MillraceError
 from ..operators.quality import HasType, NoNulls, OneOf, Range, RowsAtLeast, RowsAtMost, Unique
 from ..operators.stages import AggSpec
 from ..streaming.runs import run_available
@@ -302,41 +304,45 @@ def q43_diff(spark, d):
     return diff(a, b, ["s_suppkey"]).rows
 
 
-def _folder() -> str:
-    return tempfile.mkdtemp(prefix="millrace-")
+def _folder(spark: SparkSession) -> str:
+    """A new folder that executors see too: in the shared folder, if the session names one that the driver can write to."""
+    shared = (spark.conf.get("spark.checkpoint.dir", None) or "").removeprefix("file://").removeprefix("file:")
+    if shared.startswith("/"):
+        os.makedirs(shared, exist_ok=True)
+    return tempfile.mkdtemp(prefix="millrace-", dir=shared if shared.startswith("/") else None)
 
 
 @query("SELECT CAST(r_regionkey AS INTEGER) AS r_regionkey, r_name FROM region")
 def q44_csv_round_trip(spark, d):
-    path = os.path.join(_folder(), "region.csv")
+    path = os.path.join(_folder(spark), "region.csv")
     scan(spark, d, "region").write_csv(path).execute()
     return Pipeline(spark).read_csv(path).select(["r_regionkey", "r_name"]).to_df()
 
 
 @query("SELECT n_name, CAST(n_nationkey AS INTEGER) AS n_nationkey FROM nation")
 def q45_jsonl_round_trip(spark, d):
-    path = os.path.join(_folder(), "nation.jsonl")
+    path = os.path.join(_folder(spark), "nation.jsonl")
     scan(spark, d, "nation").write_jsonl(path).execute()
     return Pipeline(spark).read_jsonl(path).select(["n_name", "n_nationkey"]).to_df()
 
 
 @query("SELECT n_name, CAST(n_nationkey AS INTEGER) AS n_nationkey FROM nation")
 def q46_json_round_trip(spark, d):
-    path = os.path.join(_folder(), "nation.json")
+    path = os.path.join(_folder(spark), "nation.json")
     scan(spark, d, "nation").write_json(path, pretty=True).execute()
     return Pipeline(spark).read_json(path).select(["n_name", "n_nationkey"]).to_df()
 
 
 @query("SELECT s_suppkey, s_name, s_acctbal FROM supplier")
 def q47_columnar_round_trip(spark, d):
-    path = os.path.join(_folder(), "supplier.bin")
+    path = os.path.join(_folder(spark), "supplier.bin")
     scan(spark, d, "supplier").select(["s_suppkey", "s_name", "s_acctbal"]).write_columnar(path).execute()
     return Pipeline(spark).read_columnar(path).to_df()
 
 
 @query("SELECT s_suppkey, s_name, s_acctbal FROM supplier")
 def q48_sqlite_round_trip(spark, d):
-    path = os.path.join(_folder(), "supplier.db")
+    path = os.path.join(_folder(spark), "supplier.db")
     scan(spark, d, "supplier").select(["s_suppkey", "s_name", "s_acctbal"]).write_sqlite(path, "supplier").execute()
     return Pipeline(spark).read_sqlite(path, "SELECT * FROM supplier").to_df()
 
@@ -389,19 +395,24 @@ def q54_toml_spec(spark, d):
     return build(read_spec(text), spark).to_df()
 
 
-@query("SELECT CAST(n_nationkey AS INTEGER) AS n_nationkey, n_name FROM nation WHERE n_nationkey % 4 <> 1")
-def q55_skip_malformed(spark, d):
+def _nations_with_faults(spark, d) -> str:
+    """A CSV file of the nations (25 rows at any scale), in which every fourth row has a cell too many."""
     rows = spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey", "n_name").orderBy("n_nationkey").collect()
-    path = os.path.join(_folder(), "nation.csv")
+    path = os.path.join(_folder(spark), "nation.csv")
     with open(path, "w", encoding="utf-8") as f:
         f.write("n_nationkey,n_name\n")
         f.writelines(f"{r.n_nationkey},{r.n_name}{',extra' if r.n_nationkey % 4 == 1 else ''}\n" for r in rows)
-    return Pipeline(spark).on_error("skip").read_csv(path).to_df()
+    return path
+
+
+@query("SELECT CAST(n_nationkey AS INTEGER) AS n_nationkey, n_name FROM nation WHERE n_nationkey % 4 <> 1")
+def q55_skip_malformed(spark, d):
+    return Pipeline(spark).on_error("skip").read_csv(_nations_with_faults(spark, d)).to_df()
 
 
 @query("SELECT CAST(s_suppkey AS INTEGER) AS s_suppkey, s_name FROM supplier")
 def q56_gzip(spark, d):
-    path = os.path.join(_folder(), "supplier.csv")
+    path = os.path.join(_folder(spark), "supplier.csv")
     spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", "s_name").coalesce(1).write.option("header", True).option("compression", "gzip").csv(path)
     return Pipeline(spark).read_csv(f"{path}/*.csv.gz").to_df()
 
@@ -417,3 +428,199 @@ def q58_join_chain(spark, d):
     big = scan(spark, d, "orders").filter("o_totalprice > 400000").select(["o_orderkey", "o_custkey"])
     p = scan(spark, d, "customer").select(["c_custkey", "c_nationkey"]).join(nation, ["c_nationkey"], ["n_nationkey"]).join(big, ["c_custkey"], ["o_custkey"], "left")
     return p.select(["c_custkey", "n_name", "o_orderkey"]).to_df()
+
+
+@query("SELECT o_orderkey, CAST(o_custkey AS INTEGER) AS o_custkey, c_custkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey")
+def q59_join_key_widths(spark, d):
+    left = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", F.col("o_custkey").cast("int"))
+    return Pipeline(spark).from_df(left).join(scan(spark, d, "customer").select(["c_custkey", "c_name"]), ["o_custkey"], ["c_custkey"]).to_df()
+
+
+@query("SELECT o_orderkey, o_custkey, c_custkey, c_name FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey < 0) ON o_custkey = c_custkey")
+def q60_join_empty_right(spark, d):
+    right = scan(spark, d, "customer").filter("c_custkey < 0").select(["c_custkey", "c_name"])
+    return scan(spark, d, "orders").select(["o_orderkey", "o_custkey"]).join(right, ["o_custkey"], ["c_custkey"], "left").to_df()
+
+
+@query(
+    """SELECT k, count(*) AS n FROM (SELECT CASE WHEN l_linenumber <> 1 THEN l_discount WHEN l_tax > 0 THEN 'inf'::DOUBLE ELSE 'nan'::DOUBLE END AS k FROM lineitem) GROUP BY k"""
+)
+def q61_float_keys(spark, d):
+    p = scan(spark, d, "lineitem").map({"k": "if(l_linenumber == 1, l_tax / (l_tax - l_tax), l_discount)"})
+    return p.aggregate(["k"], [AggSpec("count_all", output="n")]).to_df()
+
+
+_ODD = "CASE WHEN n_nationkey % 2 = 1 THEN n_nationkey END"
+
+
+@query(f"SELECT n_nationkey, {_ODD} AS k FROM nation ORDER BY k ASC NULLS FIRST, n_nationkey LIMIT 18")
+def q62_sort_nulls_first(spark, d):
+    p = scan(spark, d, "nation").map({"n_nationkey": "n_nationkey", "k": "if(n_nationkey % 2 == 1, n_nationkey, null)"})
+    return p.sort(["k", "n_nationkey"]).limit(18).to_df()
+
+
+@query(f"SELECT n_nationkey, {_ODD} AS k FROM nation ORDER BY k DESC NULLS LAST, n_nationkey DESC LIMIT 15")
+def q63_sort_nulls_last(spark, d):
+    p = scan(spark, d, "nation").map({"n_nationkey": "n_nationkey", "k": "if(n_nationkey % 2 == 1, n_nationkey, null)"})
+    return p.sort(["k", "n_nationkey"], descending=True).limit(15).to_df()
+
+
+@query("SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN 'nan'::DOUBLE ELSE n_nationkey * -1.5::DOUBLE END AS x FROM nation ORDER BY x, n_nationkey LIMIT 20")
+def q64_sort_nan(spark, d):
+    p = scan(spark, d, "nation").map({"n_nationkey": "n_nationkey", "x": "if(n_nationkey % 3 == 0, (n_nationkey * 0.0) / 0.0, n_nationkey * -1.5)"})
+    return p.sort(["x", "n_nationkey"]).limit(20).to_df()
+
+
+@query("SELECT n_nationkey, CAST(NULL AS VARCHAR) AS x FROM nation WHERE n_nationkey > 3")
+def q65_missing_column(spark, d):
+    return scan(spark, d, "nation").filter("coalesce(no_such, n_nationkey) > 3").map({"n_nationkey": "n_nationkey", "x": "no_such"}).to_df()
+
+
+@query(
+    """SELECT event_id FROM (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'a' ELSE 'ab' END AS a, CASE WHEN event_id % 2 = 0 THEN 'bc' ELSE 'c' END || event_type AS b FROM events)
+    QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY event_id) = 1"""
+)
+def q66_dedup_keys_alike_when_joined(spark, d):
+    p = scan(spark, d, "events").map({"event_id": "event_id", "a": "if(event_id % 2 == 0, 'a', 'ab')", "b": "if(event_id % 2 == 0, 'bc', 'c') + event_type"})
+    return p.dedup(["a", "b"]).select(["event_id"]).to_df()
+
+
+def _message(run: Callable[[], object]) -> str:
+    """What a data-quality failure says; empty if there is none."""
+    try:
+        run()
+    except DataQualityError as e:
+        return str(e)
+    return ""
+
+
+@query(
+    """WITH t AS (SELECT *, CASE WHEN c_acctbal >= 0 THEN c_custkey END AS k FROM customer), n AS (
+        SELECT 1 AS i, 'rows >= 1000000000000' AS what, count(*) AS n FROM t
+        UNION ALL SELECT 2, 'rows <= 1', count(*) FROM t
+        UNION ALL SELECT 3, 'no nulls "k"', count(*) - count(k) FROM t
+        UNION ALL SELECT 4, 'unique "c_nationkey"', count(*) - count(DISTINCT c_nationkey) FROM t
+        UNION ALL SELECT 5, 'range "c_acctbal" [0, ]', count(*) FILTER (WHERE c_acctbal < 0) FROM t
+        UNION ALL SELECT 6, 'one of "c_mktsegment" [''BUILDING'']', count(*) FILTER (WHERE c_mktsegment <> 'BUILDING') FROM t)
+    SELECT CAST(i AS BIGINT) AS i, 'check failed: ' || what || ': ' || n || ' row(s)' AS message FROM n
+    UNION ALL SELECT 7, 'check failed: type "c_custkey" int32: it is int64'
+    UNION ALL SELECT 8, 'check no nulls "no_such": column ''no_such'' not found; available: c_custkey, k'
+    UNION ALL SELECT 9, 'check failed: rows <= 1: ' || count(*) || ' row(s)' FROM t
+    UNION ALL SELECT 10, ''"""
+)
+def q67_failed_checks(spark, d):
+    columns = {c: c for c in ("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")}
+    p = lambda: scan(spark, d, "customer").map(columns | {"k": "if(c_acctbal >= 0, c_custkey, null)"})
+    failing = [RowsAtLeast(10**12), RowsAtMost(1), NoNulls("k"), Unique("c_nationkey"), Range("c_acctbal", 0), OneOf("c_mktsegment", ("BUILDING",)), HasType("c_custkey", "int32")]
+    runs = [lambda c=c: p().expect(c).to_df() for c in failing]
+    runs += [lambda: p().select(["c_custkey", "k"]).expect(NoNulls("no_such")).to_df()]
+    runs += [lambda: p().expect(NoNulls("c_custkey"), RowsAtMost(1), NoNulls("k")).to_df(), lambda: p().expect(RowsAtLeast(1)).to_df()]
+    return spark.createDataFrame([(i, _message(run)) for i, run in enumerate(runs, 1)], "i bigint, message string")
+
+
+@query("SELECT 'n_nationkey,n_name' AS line UNION ALL SELECT n_nationkey || ',' || n_name || ',extra' FROM nation WHERE n_nationkey % 4 = 1")
+def q68_quarantine(spark, d):
+    path = _nations_with_faults(spark, d)
+    Pipeline(spark).on_error(f"quarantine:{path}.bad").read_csv(path).to_df()
+    return spark.read.text(f"{path}.bad").withColumnRenamed("value", "line")
+
+
+@query("SELECT 'line 3: 3 fields, the header has 2' AS message")
+def q69_strict(spark, d):
+    path = _nations_with_faults(spark, d)
+    try:
+        Pipeline(spark).read_csv(path).collect()
+        message = ""
+    except CsvError as e:
+        message = str(e).replace(f"{path}: ", "")
+    return spark.createDataFrame([(message,)], "message string")
+
+
+@query("SELECT 'map' AS _dead_letter_stage, 'ZeroDivisionError: division by zero' AS _error, CAST(n_nationkey AS INTEGER) AS n_nationkey, n_name FROM nation WHERE n_nationkey % 5 = 0")
+def q70_dead_letters(spark, d):
+    folder = _folder(spark)
+    p = scan(spark, d, "nation").select(["n_nationkey", "n_name"]).map_fn({"x": "float64"}, lambda r: [10 / (r["n_nationkey"] % 5)])
+    p.dead_letter(f"{folder}/dead.csv").write_csv(f"{folder}/out.csv").execute()
+    return Pipeline(spark).read_csv(f"{folder}/dead.csv").to_df()
+
+
+@query(
+    """SELECT unnest(['removed column: o_custkey (int64)', 'added column: o_totalprice (float64)', 'type changed: o_orderkey: int64 -> string',
+    'order changed: o_orderkey, o_orderstatus -> o_orderstatus, o_orderkey']) AS line"""
+)
+def q71_schema_drift(spark, d):
+    from .. import tools
+
+    path = os.path.join(_folder(spark), "schema.json")
+    tools.schema_save(scan(spark, d, "orders").select(["o_orderkey", "o_custkey", "o_orderstatus"]).to_df(), path)
+    now = spark.read.parquet(f"{d}/orders.parquet").select("o_orderstatus", F.col("o_orderkey").cast("string"), "o_totalprice")
+    return spark.createDataFrame([(x,) for x in tools.schema_drift(tools.schema_load(path), tools.schema_of(now))], "line string")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 10")
+def q72_preview(spark, d):
+    p = scan(spark, d, "orders").select(["o_orderkey", "o_totalprice"]).sort(["o_totalprice", "o_orderkey"], descending=True)
+    return spark.createDataFrame([(r["o_orderkey"], r["o_totalprice"]) for r in p.preview(10)], "o_orderkey bigint, o_totalprice double")
+
+
+@query(
+    """WITH t AS (SELECT count(*) AS a, count(*) FILTER (WHERE c_acctbal > 0) AS b FROM customer)
+    SELECT 'source_batch' AS kind, a AS rows_in, a AS rows_out FROM t UNION ALL SELECT 'stage_batch', a, b FROM t
+    UNION ALL SELECT 'sink_batch', b, b FROM t UNION ALL SELECT 'done', a, b FROM t"""
+)
+def q73_progress(spark, d):
+    seen: list = []
+    scan(spark, d, "customer").filter("c_acctbal > 0").on_progress(seen.append).execute()
+    return spark.createDataFrame([(e.kind, e.rows_in, e.rows_out) for e in seen], "kind string, rows_in bigint, rows_out bigint")
+
+
+_REFUSED = {
+    "expression": ["1 +", "(1", "'abc", "1.2.3", "n_name $ 2", "no_such_function(n_name)", "(" * 65 + "1" + ")" * 65],
+    "sql": [f"SELECT n_name FROM nation {x}" for x in ("WHERE", "HAVING n_name > 1", "LIMIT 1 OFFSET 2", "LIMIT 1.5", "extra stuff")] + ["SELECT SUM(*) FROM nation", "SELECT n_nationkey + 1 FROM nation"],
+}
+
+
+@query("SELECT 'expression' AS dialect, CAST(7 AS BIGINT) AS refused UNION ALL SELECT 'sql', 7")
+def q74_refused_texts(spark, d):
+    def refused(run: Callable[[], object]) -> bool:
+        try:
+            run()
+        except MillraceError:
+            return True
+        return False
+
+    n = sum(refused(lambda x=x: scan(spark, d, "nation").map({"x": x}).to_df()) for x in _REFUSED["expression"])
+    m = sum(refused(lambda x=x: _sql(spark, d, x, "nation")) for x in _REFUSED["sql"])
+    return spark.createDataFrame([("expression", n), ("sql", m)], "dialect string, refused bigint")
+
+
+@query("SELECT CAST(s_suppkey AS INTEGER) AS s_suppkey, s_name, s_acctbal FROM supplier")
+def q75_convert(spark, d):
+    from .. import tools
+
+    folder = _folder(spark)
+    scan(spark, d, "supplier").select(["s_suppkey", "s_name", "s_acctbal"]).write_csv(f"{folder}/supplier.csv").execute()
+    tools.convert(spark, f"{folder}/supplier.csv", f"{folder}/supplier.jsonl")
+    return Pipeline(spark).read(f"{folder}/supplier.jsonl").to_df()
+
+
+@query("SELECT count(*) AS count_all, sum(o_totalprice) AS total FROM orders WHERE FALSE")
+def q76_empty_source(spark, d):
+    nothing = spark.read.parquet(f"{d}/orders.parquet").limit(0)
+    return Pipeline(spark).from_df(nothing).aggregate([], [AggSpec("count_all"), AggSpec("sum", "o_totalprice", "total")]).to_df()
+
+
+@query("SELECT n_name FROM nation")
+def q77_record_limit(spark, d):
+    folder = _folder(spark)
+    scan(spark, d, "nation").select(["n_name"]).write_jsonl(f"{folder}/nation.jsonl").execute()
+    with open(f"{folder}/nation.jsonl", "a", encoding="utf-8") as f:
+        f.write('{"n_name": "' + "x" * (17 << 20) + '"}\n')
+    return Pipeline(spark).on_error("skip").read_jsonl(f"{folder}/nation.jsonl").to_df()
+
+
+@query("SELECT count(*) AS n, 'source -> filter -> Sort -> limit -> sink' AS plan, 15 AS kept FROM orders")
+def q78_discard_and_explain(spark, d):
+    p = scan(spark, d, "orders").telemetry().filter("o_orderkey > 0").sort(["o_totalprice"]).limit(15)
+    stats = p.execute()
+    return spark.createDataFrame([(stats["rows"], re.sub(r"\s+", " ", p.explain()), p.stage_stats()[-1].rows_out)], "n bigint, plan string, kept int")
