@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import os
-import shutil
-import tempfile
+import uuid
 from typing import TextIO
 
 import numpy as np
@@ -42,34 +41,48 @@ def shown(df: DataFrame, plain_floats: bool = True) -> list[Column]:
 
 
 def _joined(df: DataFrame, path: str, write, first: bytes = b"", last: bytes = b"", between: bytes = b"", empty: bytes = b"") -> int:
-    """The parts that ``write(folder)`` makes, in order, as one file in place of ``path``; its size."""
-    folder = tempfile.mkdtemp(prefix=".millrace-", dir=os.path.dirname(os.path.abspath(path)))
+    """The parts that ``write(folder)`` makes, in order, as one file in place of ``path``; its size.
+
+    Executors write the parts to ``spark.checkpoint.dir``, which they share with the driver, or beside the target where
+    that is unset. The driver copies them as streams. With ``between`` each row of a part ends so, and the last such end
+    is cut; without rows the file is ``empty``.
+    """
+    local = os.path.abspath(path.removeprefix("file://"))
+    beside = os.path.dirname(local)
+    if not os.path.isdir(beside):
+        raise FileNotFoundError(f"{beside}: no such folder")
+    context, name = df.sparkSession.sparkContext, f".millrace-{uuid.uuid4().hex}"
+    jvm, whole = context._jvm, os.path.join(beside, name)
+    hadoop = jvm.org.apache.hadoop.fs.Path
+    folder = hadoop(f"{df.sparkSession.conf.get('spark.checkpoint.dir', None) or f'file://{beside}'}/{name}-parts")
+    system = folder.getFileSystem(context._jsc.hadoopConfiguration())
     try:
-        write(f"file://{folder}/parts")
-        parts = sorted(os.path.join(folder, "parts", p) for p in os.listdir(f"{folder}/parts") if p.startswith("part-"))
-        whole = os.path.join(folder, "whole")
-        with open(whole, "wb") as out:
+        write(f"{folder.toString()}/parts")
+        found = [(s.getPath().getName(), s.getLen(), s.getPath()) for s in system.listStatus(hadoop(folder, "parts"))]
+        found = sorted((n, size, p) for n, size, p in found if n.startswith("part-") and size)
+        left = sum(size for _, size, _ in found) - (len(between) if found else 0)
+        out = jvm.java.io.FileOutputStream(whole)
+        try:
+            if between and not found:
+                first, last = empty, b""
             out.write(first)
-            started = False
-            for p in parts:
-                with open(p, "rb") as f:
-                    if not between:
-                        shutil.copyfileobj(f, out, 1 << 20)
-                        continue
-                    for line in f:
-                        out.write((between if started else b"") + line.rstrip(b"\n"))
-                        started = True
+            for _, size, part in found:
+                source = system.open(part)
+                try:
+                    jvm.org.apache.commons.io.IOUtils.copyLarge(source, out, 0, min(size, left))
+                finally:
+                    source.close()
+                left -= min(size, left)
             out.write(last)
-            if between and not started:
-                out.seek(0)
-                out.truncate()
-                out.write(empty)
-            out.flush()
-            os.fsync(out.fileno())
-        os.replace(whole, path)
-        return os.path.getsize(path)
+            out.getFD().sync()
+        finally:
+            out.close()
+        os.replace(whole, local)
+        return os.path.getsize(local)
     finally:
-        shutil.rmtree(folder, ignore_errors=True)
+        system.delete(folder, True)
+        if os.path.exists(whole):
+            os.remove(whole)
 
 
 def _csv_writer(df: DataFrame):
@@ -117,7 +130,7 @@ def write_json(df: DataFrame, path: str, pretty: bool = False) -> int:
     """One array of objects; ``pretty`` gives each row a line of its own, two spaces in."""
     text = df.select(json_line(df))  # a line for each row, since JSON escapes line breaks
     first, between, last = (b"[\n  ", b",\n  ", b"\n]\n") if pretty else (b"[", b",", b"]")
-    return _joined(text, path, lambda folder: text.write.mode("overwrite").text(folder), first, last, between, b"[]")
+    return _joined(text, path, lambda folder: text.write.option("lineSep", between.decode()).text(folder), first, last, between, b"[]")
 
 
 def write_parquet(df: DataFrame, path: str) -> None:
