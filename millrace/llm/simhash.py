@@ -291,13 +291,14 @@ def simhash_components(docs: DataFrame, reach: int = 3, id_col: str = "doc_id",
     reached over links (null ids are passed over; null if there is no other). Texts without words, null ones included,
     share the fingerprint zero and link like any other. An empty table gives an empty result. Equal fingerprints are
     one from the start: copies, however many, cost a row for each task. The join back is by fingerprint; a hot one is
-    split by the skew join.
+    split by the skew join. So is a large component in the join by label, which takes two tables that are written: Spark
+    doesn't split a join above an aggregate.
     """
     rows = checkpoint(fingerprints(docs, id_col, text_col))
     least = checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     labels = components(linked(least, reach))
-    named = least.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
-    ids = named.groupBy("label").agg(F.min("least").alias("component_id"))
+    named = checkpoint(least.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("label", "fp").alias("label")))
+    ids = checkpoint(named.groupBy("label").agg(F.min("least").alias("component_id")))
     of = named.join(ids, "label").select("fp", "component_id")
     return rows.join(of, "fp").select("doc_id", "text_key", "fp", "component_id")
 
