@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -69,6 +70,23 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, most: str = "4m") -> Iterator[None]:
+    """Jobs inside send rows to Python workers at most ``most`` bytes at a time, unless the session has its own limit.
+
+    Batches lie outside the heap on both sides, a set for each task; Spark's default is 64 MB. Results don't depend on it.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = key in spark.conf.getAll
+    if not own:
+        spark.conf.set(key, most)
+    try:
+        yield
+    finally:
+        if not own:
+            spark.conf.unset(key)
+
+
 def keep_where(docs: DataFrame, text_col: str, test: Callable[[list], np.ndarray], rows: int = 256) -> DataFrame:
     """``docs``, all columns, without the rows for whose text ``test`` (of a list of texts) is false.
 

@@ -6,15 +6,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import WordIds, place
-from .common import pick, stored
+from .common import pick, small_batches, stored
 
-#: Places of a hashed document vector, and documents that are worked on at a time.
-PLACES, BLOCK = 256, 512
+#: Places of a hashed document vector, and ids that are counted at a time.
+PLACES, STEP = 256, 1 << 16
+#: Documents that are worked on at a time, and bytes of them.
+BLOCK, BLOCK_BYTES = 512, 1 << 21
+
+
+def blocks(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of at most ``BLOCK`` rows and, in ``column``, ``BLOCK_BYTES``; a longer row is alone."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(), dtype=np.int64)
+        first = 0
+        while first < batch.num_rows:
+            most = BLOCK_BYTES + (ends[first - 1] if first else 0)
+            last = min(first + BLOCK, max(first + 1, int(np.searchsorted(ends, most, "right"))))
+            yield batch.slice(first, last - first)
+            first = last
 
 
 def hilbert_keys(points: np.ndarray, bits: int) -> np.ndarray:
@@ -57,10 +72,11 @@ class Curve:
         self.axes = rng.normal(size=(PLACES, dims))
 
     def keys(self, ids: list[np.ndarray]) -> np.ndarray:
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        every = np.concatenate(ids)
-        at = np.repeat(np.arange(len(ids)), lengths) * PLACES + self.place[every]
-        vectors = np.bincount(at, self.sign[every], len(ids) * PLACES).reshape(-1, PLACES)
+        vectors = np.zeros((len(ids), PLACES))
+        for vector, every in zip(vectors, ids, strict=True):
+            for at in range(0, len(every), STEP):
+                part = every[at : at + STEP]
+                vector += np.bincount(self.place[part], self.sign[part], PLACES)
         norm = np.sqrt((vectors**2).sum(axis=1, keepdims=True))
         flat = vectors / np.where(norm > 0, norm, 1) @ self.axes
         cells = np.clip((flat + 3) / 6 * (1 << self.bits), 0, (1 << self.bits) - 1)
@@ -83,7 +99,8 @@ def pack_documents(
     Each document's ids (without added specials) end with ``end_id``. Documents are range-sorted by the Hilbert key of
     their hashed and projected token counts, then by id; each range is one stream of ids, cut at ``capacity``, so only
     the last sequence of a range has padding. Copies share a key and are divided among ranges by id. Texts are
-    tokenised once; ids wait in a stored table of 16-bit numbers, so that ranges can be drawn from it.
+    tokenised once; ids wait in a stored table of 16-bit numbers, so that ranges can be drawn from it. Workers hold
+    blocks of rows that are bounded in bytes, so that long documents side by side need no more memory than others.
 
     Returns a row for each piece: doc_id, start (the document's ids before it), length, ids (little-endian unsigned
     32-bit), doc_tokens, sequence_id, offset (in the sequence). A null or empty text is ``end_id`` alone; rows alike are
@@ -96,19 +113,18 @@ def pack_documents(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordIds(path)
-        for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(at, BLOCK)
-                ids = [x + end for x in encoder(part.column("text").to_pylist())]
-                keys = curve.keys([np.frombuffer(x, "<u2") for x in ids])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(keys), pa.array(ids, pa.binary())], ["doc_id", "key", "ids"])
-
-    encoded = stored(rows.mapInArrow(encode, f"doc_id {kind}, key long, ids binary"))
+        for part in blocks(batches, "text"):
+            ids = [x + end for x in encoder(part.column("text").to_pylist())]
+            keys = curve.keys([np.frombuffer(x, "<u2") for x in ids])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(keys), pa.array(ids, pa.binary())], ["doc_id", "key", "ids"])
+
+    with small_batches(docs.sparkSession):
+        encoded = stored(rows.mapInArrow(encode, f"doc_id {kind}, key long, ids binary"))
     ranged = encoded.repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id", "ids")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, at = TaskContext.get().partitionId() << 40, 0
-        for batch in (whole.slice(i, BLOCK) for whole in batches for i in range(0, whole.num_rows, BLOCK)):
+        for batch in blocks(batches, "ids"):
             out: dict[str, list] = {k: [] for k in ("row", "start", "length", "ids", "doc_tokens", "sequence_id", "offset")}
             for i, raw in enumerate(batch.column("ids")):
                 ids = np.frombuffer(raw.as_py(), "<u2").astype("<u4")

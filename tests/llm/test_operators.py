@@ -4,15 +4,17 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
-from millrace.llm import chunks, components, langid, mixing, mtree, packing, quality, queries, rules, sharding, simhash, token_counts, toxicity
+from millrace.llm import chunks, common, components, langid, mixing, mtree, packing, quality, queries, rules, sharding, simhash, token_counts, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "row long, doc_id long, text string, lang string, source string, size string, text_key string, TEXT string, key string, part string, fp string, label string, copies string, host string"
@@ -321,6 +323,56 @@ def test_packing(docs, empty, capacity):
     assert packing.pack_documents(empty).count() == 0
 
 
+def test_packing_memory(spark):
+    # Long documents side by side: the work on them is bounded in bytes, and so is what goes to a worker at once.
+    rng = np.random.default_rng(6)
+    long = [rng.integers(0, 49_000, 26_000).astype("<u2") for _ in range(256)]
+    curve = packing.Curve(3, 10, 23)
+    tracemalloc.start()
+    keys = curve.keys(long)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6 and (keys == np.concatenate([curve.keys([x]) for x in long])).all()
+
+    sizes = [0, 10, None, *rng.integers(1, 5000, 2000), 3_000_000, 5, *[300_000] * 30]
+    batch = pa.RecordBatch.from_pydict({"n": range(len(sizes)), "t": ["x" * n if n is not None else None for n in sizes]})
+    parts = list(packing.blocks(iter([batch, batch.slice(0, 0), batch.slice(2000)]), "t"))
+    assert [n for p in parts for n in p.column("n").to_pylist()] == [*range(len(sizes)), *range(2000, len(sizes))]
+    used = [(p.num_rows, sum(len(t or "") for t in p.column("t").to_pylist())) for p in parts]
+    assert all(0 < rows <= packing.BLOCK and (rows == 1 or n <= packing.BLOCK_BYTES) for rows, n in used) and len(parts) < 40
+
+    def held(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows], "bytes": [b.get_total_buffer_size()]})
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    texts = spark.range(0, 1000, 1, 1).selectExpr("repeat('x', 20000) AS t")
+    for own, most in (None, 6e6), ("1m", 2e6):
+        if own:
+            spark.conf.set(key, own)
+        with common.small_batches(spark):
+            rows = texts.mapInArrow(held, "n long, bytes long").collect()
+        assert sum(r.n for r in rows) == 1000 and max(r.bytes for r in rows) < most
+        assert spark.conf.getAll.get(key) == own
+    spark.conf.unset(key)
+
+
+def test_packing_long(spark):
+    tk = chunks.tokenizer(chunks.place("word_bpe_49k.json"))
+    names = [f"Name{i} of" for i in range(12)]
+    times = {i: 1_000_000 if i == 4 else 30_000 for i in range(12)}
+    rows = [(i, n) for i, n in enumerate(names)]
+    docs = spark.createDataFrame(rows, "doc_id long, name string").coalesce(1)
+    docs = docs.selectExpr("doc_id", "repeat(concat(name, ' '), IF(doc_id = 4, 1000000, 30000)) AS text")
+    pieces = defaultdict(list)
+    for r in packing.pack_documents(docs).collect():
+        pieces[r.doc_id].append((r.start, r.ids, r.doc_tokens))
+    for i, name in enumerate(names):
+        want = np.array(tk.encode(name, add_special_tokens=False).ids * times[i] + [1], "<u4")
+        found = sorted(pieces[i])
+        assert b"".join(x for _, x, _ in found) == want.tobytes() and {n for _, _, n in found} == {len(want)}
+
+
 # 6
 
 
