@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import re
+import struct
 from functools import lru_cache
 
-import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
@@ -15,6 +15,8 @@ MOST_PIECES, LONGEST = 200_000, 40
 LOOSE = re.compile("[ ](?:[\\s\x1c-\x1f\x85᠎​﻿]|$)")
 #: Marks that end a piece and never join letters before them.
 ENDINGS = ".,;:!?"
+#: More of them for a tokeniser that keeps letters and other characters in runs of their own.
+SYMBOLS = ENDINGS + "#$%&*"
 
 
 @lru_cache(maxsize=4)
@@ -51,12 +53,20 @@ def plain(text: str) -> bool:
     return text.isalpha() and (text.isascii() or max(text) < "Ā")
 
 
+def packed(ids: list[int]) -> bytes:
+    """Little-endian 16-bit numbers; a larger id is an error."""
+    return struct.pack(f"<{len(ids)}H", *ids)
+
+
 class Memory:
     """What a worker has worked out about pieces, for its life; it fills up once and then stays as it is."""
 
     def __init__(self) -> None:
         self.known: dict = {}
 
+    def full(self) -> bool:
+        return len(self.known) >= MOST_PIECES
+
     def add(self, fresh: dict) -> None:
         if len(self.known) < MOST_PIECES:
             self.known.update((p, x) for p, x in fresh.items() if len(p) <= LONGEST)
@@ -83,24 +93,29 @@ class WordIds:
         known, fresh, out = self.memory.known, {}, []
         for t in texts:
             pieces = t.encode("utf-8", "surrogatepass").split()
-            for p in pieces:
-                if p not in known and p not in fresh:
-                    fresh[p] = self.piece(p.decode("utf-8", "surrogatepass"))
-            out.append(b"".join([known[p] if p in known else fresh[p] for p in pieces]))
+            ids = list(map(known.get, pieces))
+            for i in [i for i, x in enumerate(ids) if x is None]:
+                p = pieces[i]
+                found = fresh.get(p)
+                if found is None:
+                    found = fresh[p] = self.piece(p.decode("utf-8", "surrogatepass"))
+                ids[i] = found
+            out.append(b"".join(ids))
         self.memory.add(fresh)
         return out
 
     def piece(self, p: str) -> bytes:
-        core = p.rstrip(ENDINGS)
+        core = p.rstrip(SYMBOLS)
         if plain(core):
             core, tail = core.lower(), p[len(core) :]
             ids = self.cores.known.get(core)
             if ids is None:
-                ids = np.array([t.id for t in self.model.tokenize(marked(core))], "<u2").tobytes()
-                self.cores.add({core: ids})
+                ids = packed([t.id for t in self.model.tokenize(marked(core))])
+                if not self.cores.full():
+                    self.cores.add({core: ids})
             return ids + (self.tail(tail) if tail else b"")
-        return np.array(self.whole.encode(p, add_special_tokens=False).ids, "<u2").tobytes()
+        return packed(self.whole.encode(p, add_special_tokens=False).ids)
 
     @lru_cache(maxsize=1000)  # noqa: B019
     def tail(self, tail: str) -> bytes:
-        return np.array(self.whole.encode(tail, add_special_tokens=False).ids, "<u2").tobytes()
+        return packed(self.whole.encode(tail, add_special_tokens=False).ids)

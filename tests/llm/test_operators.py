@@ -7,6 +7,7 @@ import re
 import tracemalloc
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
@@ -193,6 +194,17 @@ def test_chunks_agree_with_the_library():
         assert n + sum(len(whole.model.tokenize(chunks.marked(p))) for p in pre) == len(whole.encode(t, add_special_tokens=False).ids), t
 
 
+def test_marks_after_words():
+    # Words that end in marks are made of a word and its marks; the whole tokeniser sees only the marks.
+    ids, asked = chunks.WordIds(chunks.place("word_bpe_49k.json")), []
+    whole = ids.whole
+    ids.whole = SimpleNamespace(encode=lambda p, **more: asked.append(p) or whole.encode(p, **more))
+    marks = ["".join(m) for n in (1, 2, 3) for m in itertools.product(chunks.SYMBOLS, repeat=n)]
+    made = [f"{w}{m}" for w in ("qzword", "Qzñé", "qzß") for m in marks]
+    assert all(np.frombuffer(b, "<u2").tolist() == whole.encode(t, add_special_tokens=False).ids for t, b in zip(made, ids(made), strict=True))
+    assert set(asked) <= set(marks)
+
+
 # 4
 
 
